@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +42,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local one)."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Give the executors this package, once for each context; they need no installed copy."""
+    context = spark.sparkContext
+    if getattr(context, "_graphloom_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / "graphloom.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(here.rglob("*.py")):
+            out.write(f, f.relative_to(here.parent).as_posix())
+    context.addPyFile(str(path))
+    context._graphloom_shipped = True
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors."""
+    shipped(df.sparkSession)
+    return df.mapInArrow(function, schema)

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from graphloom.llm import quality, secrets
+from graphloom.llm import neardup, quality, secrets, substrings, suffixes
 from graphloom.session import table
 
 
+def op4_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark, sf_dir):
+    return suffixes.repeated_bytes(table(spark, sf_dir, "documents")).drop("edges")
+
+
+def op8_substring_dedup(spark, sf_dir):
+    return substrings.repeated_words(table(spark, sf_dir, "documents")).drop("edges")
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -15,6 +27,9 @@ def op10_secret_scans(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_near_duplicates": op4_near_duplicates,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
 }

@@ -1,24 +1,56 @@
-"""The corpus pipeline: documents to packed training sequences."""
+"""The corpus pipeline: documents to packed training sequences.
+
+Every stage works on all rows its predecessor kept, and what it decides takes effect. Null or
+empty texts fail the quality rules, so no later stage sees them; every stage would accept them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import quality, secrets
+from graphloom.llm import neardup, packing, quality, secrets, substrings
 from graphloom.session import table, written
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` follows the text."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else docs
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality.kept_documents(docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): that of the smallest id."""
+    return neardup.first_of_each_group(docs, k=5, percent=80)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without 20-word windows that occur earlier; a document of which no word is left goes."""
+    return _counted(substrings.without_repeats(docs))
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret replaced by a mask."""
-    return secrets.redacted_documents(docs)
+    return _counted(secrets.redacted_documents(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences, with the checksum of each piece's ids."""
+    pieces = packing.packed(docs)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("quality rules", quality_stage), ("secret scans", secret_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("substring dedup", substring_stage),
+    ("secret scans", secret_stage),
+    ("packing", packing_stage),
+]
 
 #: SQL cannot express tokenizing and packing; the tests hold the stages against brute force.
 ORACLE_SQL = None

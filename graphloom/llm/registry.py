@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from graphloom.llm import neardup, quality, secrets, substrings, suffixes
+from pyspark.sql import functions as F
+
+from graphloom.llm import neardup, packing, quality, secrets, substrings, suffixes
 from graphloom.session import table
 
 
+def op3_packing(spark, sf_dir):
+    pieces = packing.packed(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,6 +34,7 @@ def op10_secret_scans(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op4_near_duplicates": op4_near_duplicates,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,

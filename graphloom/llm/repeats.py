@@ -241,25 +241,61 @@ def _edge_scans(batches, spec: Windows):
         yield part, scan, text, np.concatenate(places) + scan.firsts[text]
 
 
-def _edge_windows(batches, spec: Windows, buckets: int):
-    """Hashes of the windows at edges, to buckets by hash."""
-    for part, scan, text, at in _edge_scans(batches, spec):
-        start = (at[:, None] - np.arange(spec.grams)[None, :]).reshape(-1)
-        text, anchor = np.repeat(text, spec.grams), np.repeat(at, spec.grams)
-        ok = (start >= scan.firsts[text]) & (start + spec.window <= scan.firsts[text + 1])
-        start, text, anchor = start[ok], text[ok], anchor[ok]
-        ok = scan.least[start] == scan.gram[anchor]
-        start, text = start[ok], text[ok]
-        ids, tags = part.column("doc").to_numpy(), part.column("tag").to_numpy().astype(np.uint32)
-        key = scan.of(start, spec.window)
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        yield _rows(_by_bucket(bucket, text, ids, tags, [key, (start - scan.firsts[text]).astype(np.uint32)]), *BLOBS)
+def edge_contexts(scan: Scan, at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each anchor: ``values`` of its context (padded with 0), begin, size, and a bit for each window that it is the anchor of."""
+    spec = scan.spec
+    begin, end = scan.contexts(at)
+    index = begin[:, None] + np.arange(spec.window + spec.grams - 1)[None, :]
+    inside = index < end[:, None]
+    context = np.where(inside, values[np.where(inside, index, 0)], values.dtype.type(0))
+    mine = np.zeros(len(at), np.uint64)
+    for k in range(spec.grams):
+        start = begin + k
+        ok = start + spec.window <= end
+        ok[ok] = scan.least[start[ok]] == scan.gram[at[ok]]
+        mine |= ok.astype(np.uint64) << np.uint64(k)
+    return context, begin, end - begin, mine
+
+
+def _edge_texts(batches, spec: Windows, splitters: np.ndarray):
+    """The contexts of edges, to buckets by anchor (bytes as units)."""
+    for batch, scan, text, at in _edge_scans(batches, spec):
+        data = arrays.text_bytes(batch.column("text"))[0]
+        context, begin, _, mine = edge_contexts(scan, at, data)
+        ids, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy().astype(np.uint32)
+        bucket = np.searchsorted(splitters, anchor_keys(scan.gram[at]), "right")
+        yield _rows(_by_bucket(bucket, text, ids, tags, [context, (begin - scan.firsts[text]).astype(np.uint32), mine]), *BLOBS)
+
+
+#: Contexts whose windows are hashed at once.
+AT_ONCE = 4096
 
 
 def _sorted_windows(batches, spec: Windows):
-    for _, ids, tags, (key, place) in _gathered(batches, np.uint64, np.uint32):
+    """Hash the windows of a bucket's edges, sort them, and find those that a smaller document has."""
+    width, size = spec.window + spec.grams - 1, spec.window
+    powers, back = powers_of(_B, width), powers_of(_B_INV, width)
+    for _, ids, tags, (context, begin, mine) in _gathered(batches, np.uint8, np.uint32, np.uint64):
+        context = context.reshape(-1, width)
+        keys, owners, places = [], [], []
+        for a in range(0, len(context), AT_ONCE):
+            part = arrays.BYTE_VALUE[context[a : a + AT_ONCE]] * powers[None, :width]
+            sums = np.concatenate((np.zeros((len(part), 1), np.uint64), np.cumsum(part, axis=1)), axis=1)
+            hashes = (sums[:, size:] - sums[:, : spec.grams]) * back[None, : spec.grams]
+            row, k = np.nonzero(mine[a : a + AT_ONCE, None] >> np.arange(spec.grams, dtype=np.uint64)[None, :] & np.uint64(1))
+            keys.append(arrays.mixed(hashes[row, k]))
+            owners.append(row + a)
+            places.append(begin[row + a] + k.astype(np.uint32))
+        key, owner, place = (np.concatenate(x) for x in (keys, owners, places))
+        # A window that occurs once needs no further sorting.
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        key, place, ids, tags = key[order], place[order], ids[owner[order]], tags[owner[order]]
         order = np.lexsort((place, ids, key))
         key, place, ids, tags = key[order], place[order], ids[order], tags[order]
+        if not len(key):
+            continue
         first = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(key)), 0))
         later = ids > ids[first]
         if spec.within:
@@ -307,7 +343,7 @@ def repeated(docs: DataFrame, spec: Windows, id_col: str, text_col: str, splitte
     """(``doc``, ``tag``, ``text``, ``copy``, ``hits``) for every row of ``docs``.
 
     ``copy``: the whole text also belongs to a smaller id (such rows have no hits). ``edges``:
-    the two functions of the second exchange, windows by hash unless given.
+    the two functions of the second exchange (for byte units unless given).
     """
     spark = docs.sparkSession
     buckets = len(splitters) + 1
@@ -325,7 +361,7 @@ def repeated(docs: DataFrame, spec: Windows, id_col: str, text_col: str, splitte
         return hits.groupBy("doc").agg(F.collect_list(F.struct("tag", "kind", "places")).alias("hits")).hint("shuffle_hash")
 
     hits = by_doc(map_arrow(exchanged(map_arrow(once, partial(_anchors, spec=spec, splitters=splitters), blob)), partial(_sorted_anchors, spec=spec), hit))
-    emit, settle = edges or (partial(_edge_windows, spec=spec, buckets=buckets), partial(_sorted_windows, spec=spec))
+    emit, settle = edges or (partial(_edge_texts, spec=spec, splitters=splitters), partial(_sorted_windows, spec=spec))
     at_edges = once.join(hits, "doc").filter(F.exists("hits", lambda h: h["kind"] == EDGE))
     more = by_doc(map_arrow(exchanged(map_arrow(at_edges, emit, blob)), settle, hit)).withColumnRenamed("hits", "more")
     both = F.concat(F.coalesce("hits", F.array().cast(_HITS)), F.coalesce("more", F.array().cast(_HITS)))

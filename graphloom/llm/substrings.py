@@ -35,12 +35,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 def _contexts(batches, spec, buckets: int):
     """The word hashes of contexts at edges (padded with 0), to shards by anchor."""
-    width = spec.window + spec.grams - 1
     for part, scan, text, at in repeats._edge_scans(batches, spec):
-        begin, end = scan.contexts(at)
-        index = begin[:, None] + np.arange(width)[None, :]
-        inside = index < end[:, None]
-        words = np.where(inside, scan.values[np.where(inside, index, 0)], np.uint64(0))
+        words, begin, *_ = repeats.edge_contexts(scan, at, scan.values)
         ids, tags = part.column("doc").to_numpy(), part.column("tag").to_numpy().astype(np.uint32)
         bucket = (repeats.anchor_keys(scan.gram[at]) % np.uint64(buckets)).astype(np.int64)
         yield repeats._rows(repeats._by_bucket(bucket, text, ids, tags, [words, (begin - scan.firsts[text]).astype(np.uint32)]), *repeats.BLOBS)

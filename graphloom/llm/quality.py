@@ -139,7 +139,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def kept_documents(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their own columns only."""
-    return judged(docs, text_col, rules).filter("rejected_by is null").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    # Pushed below the measures, the filter would repeat all of them; the observed counts hold it above.
+    rows = judged(docs, text_col, rules)
+    rows = rows.observe("quality rules", F.count(F.lit(1)).alias("documents"), F.count("rejected_by").alias("rejected"))
+    return rows.filter("rejected_by is null").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

@@ -8,9 +8,11 @@
    probability ``MISS``. Of its shared pairs, from the rarest to the commonest, a node therefore
    needs only its first ``size - matches + 1`` (prefix); its ``matches - 1`` longest posting
    lists are skipped, and a node with fewer shared pairs than ``matches`` drops out.
-4. Within a posting list every node is compared with one pivot. The pivot then leaves the list,
-   and a list whose nodes are all in one component is done. This repeats until few pairs are
-   left; those are compared one by one. Thus a list of n copies of one text costs about n
+4. Within a posting list every node is compared with a few pivots. They then leave the list,
+   and a list whose nodes are all in one component is done. After some rounds of this, nodes of
+   lists that still span several components (texts that share a long passage, say) are joined
+   by their rarest shingles: two sets of the wanted similarity share one of the
+   ``n - ceil(similarity * n) + 1`` rarest. Thus a list of n copies of one text costs about n
    comparisons, not n squared, and no link between different components is lost.
 5. A compared pair must collide in ``matches`` coordinates and pass the exact test on full sets.
 
@@ -22,7 +24,7 @@ text are ignored, whatever their names. An empty table gives an empty table.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 from math import comb
 
 import numpy as np
@@ -37,9 +39,8 @@ from graphloom.session import map_arrow, written
 COORDINATES = 48
 #: Chance that a pair exactly at the threshold agrees in fewer coordinates than asked for.
 MISS = 1e-6
-#: Comparisons with pivots stop when the pairs left are at most this many per posting.
-PAIRS_PER_POSTING = 4
-MOST_ROUNDS = 8
+#: Pivots of each list in the rounds of comparisons.
+PIVOTS = (1, 12)
 
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 1 << 63, 512, dtype=np.uint64)
@@ -113,6 +114,13 @@ def _full_sets(batches, k: int):
         yield out.filter(pa.array(same, pa.bool_()))
 
 
+def _members(batches):
+    for batch in batches:
+        for nid, hashes in zip(batch.column("nid").to_pylist(), batch.column("hashes")):
+            values = np.frombuffer(hashes.as_buffer(), np.int64)
+            yield pa.record_batch([pa.array(np.full(len(values), nid)), pa.array(values)], names=["nid", "h"])
+
+
 def _similar(batches, percent: int):
     for batch in batches:
         keep = []
@@ -165,30 +173,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = close.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ha", "hb")
         return written(map_arrow(both, partial(_similar, percent=percent), "a long, b long"))
 
-    lists = involved.select("nid", F.explode("prefix").alias("key"))
-    links, comps = None, None
-    for turn in range(MOST_ROUNDS):
-        # What is left of each list: nodes of a list that spans more than one component.
-        lists = lists.withColumn("comp", F.col("nid")) if comps is None else lists.drop("comp").join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-        per_key = lists.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("nid", F.xxhash64("nid", F.lit(turn))).alias("pivot")).filter("lo <> hi")
-        lists = written(lists.join(per_key.select("key", "pivot", "c"), "key"))
-        rows, pairs = lists.agg(F.count("*"), F.sum((F.col("c") - 1) / 2)).first()
-        if not rows:
-            break
-        if pairs <= PAIRS_PER_POSTING * rows or turn == MOST_ROUNDS - 1:
-            left = lists.select("key", F.col("nid").alias("a"), F.col("comp").alias("ca"))
-            right = lists.select("key", F.col("nid").alias("b"), F.col("comp").alias("cb"))
-            found = confirmed(left.join(right, "key").filter("a < b and ca <> cb").select("a", "b").distinct())
-            links = found if links is None else links.union(found)
-            comps = None
-            break
-        pivots = lists.select("key", "pivot", F.col("nid").alias("b"), "comp")
-        found = confirmed(pivots.filter("b <> pivot").select(F.col("pivot").alias("a"), "b").distinct())
-        links = found if links is None else links.union(found)
-        comps = components(links)
-        lists = lists.filter("nid <> pivot").select("nid", "key")
-    if comps is None and links is not None:
-        comps = components(links)
+    def open_lists(lists: DataFrame, pivots: int) -> DataFrame:
+        """Postings of lists that span more than one component, with some nodes of the list as pivots."""
+        lists = lists.withColumn("comp", F.col("nid")) if comps is None else lists.join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+        some = [F.min_by(F.struct("nid", "comp"), F.xxhash64("nid", F.lit(len(links) * 1000 + i))) for i in range(pivots)]
+        wide = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*some)).alias("pivots")).filter("lo <> hi")
+        return written(lists.join(wide.select("key", "pivots"), "key"))
+
+    def compared_with_pivots(lists: DataFrame) -> DataFrame:
+        """What is left of the lists after comparisons with pivots, in rounds of ``PIVOTS``."""
+        nonlocal comps
+        for pivots in PIVOTS:
+            lists = open_lists(lists, pivots)
+            if lists.isEmpty():
+                return lists
+            pairs = lists.select("nid", "comp", F.explode("pivots").alias("p")).filter("comp <> p.comp").select(F.least("nid", "p.nid").alias("a"), F.greatest("nid", "p.nid").alias("b"))
+            links.append(confirmed(pairs.distinct()))
+            comps = components(reduce(DataFrame.union, links))
+            lists = lists.filter(~F.exists("pivots", lambda p: p["nid"] == F.col("nid"))).select("nid", "key")
+        return open_lists(lists, 1)
+
+    links, comps = [], None
+    lists = compared_with_pivots(involved.select("nid", F.explode("prefix").alias("key")))
+    if not lists.isEmpty():
+        left = lists.select("nid").distinct().join(involved.select("nid", "n"), "nid")
+        members = map_arrow(sets.join(left.select("nid"), "nid"), _members, "nid long, h long")
+        several = members.groupBy("h").agg(F.count("*").alias("c"))
+        rare = members.join(several, "h").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("hs"))
+        length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+        posts = rare.join(left, "nid").select("nid", F.explode(F.slice("hs", F.lit(1), length)).alias("x"))
+        lists = compared_with_pivots(written(posts.filter("x.c > 1").select("nid", F.col("x.h").alias("key"))))
+        if not lists.isEmpty():
+            sized = lists.join(left, "nid")
+            one, two = sized.alias("p"), sized.alias("q")
+            near = (F.col("p.key") == F.col("q.key")) & (F.col("p.nid") < F.col("q.nid")) & (F.col("p.comp") != F.col("q.comp"))
+            near &= F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent
+            links.append(confirmed(one.join(two, near).select(F.col("p.nid").alias("a"), F.col("q.nid").alias("b")).distinct()))
+            comps = components(reduce(DataFrame.union, links))
     labels = nodes.select("nid", "node")
     labels = labels.select("node", F.col("nid").alias("comp")) if comps is None else labels.join(comps, "nid", "left").select("node", F.coalesce("comp", "nid").alias("comp"))
     placed = linkable.groupBy("node").agg(F.min("id").alias("least")).join(labels, "node")

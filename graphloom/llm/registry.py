@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import neardup, packing, quality, secrets, substrings, suffixes
+from graphloom.llm import fingerprints, language, neardup, packing, quality, secrets, substrings, suffixes
 from graphloom.session import table
 
 
+def remainder(n: int):
+    """crc32 of the id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_languages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.languages(docs, learn=remainder(3) != 1)
+    return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op3_packing(spark, sf_dir):
     pieces = packing.packed(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -34,6 +49,8 @@ def op10_secret_scans(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
+    "op6_languages": op6_languages,
     "op3_packing": op3_packing,
     "op4_near_duplicates": op4_near_duplicates,
     "op7_suffix_dedup": op7_suffix_dedup,

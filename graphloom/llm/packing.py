@@ -42,7 +42,7 @@ NEIGHBOURS = 48
 COMMON = 0.05
 
 #: Words whose ids a task remembers, at most; then it forgets all and starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _ids: dict[str, bytes] = {}
 _tokenizers: dict = {}
 

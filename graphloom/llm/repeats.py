@@ -322,17 +322,22 @@ def covered(spec: Windows, n_units: int, hits, tag: int) -> np.ndarray:
 _HITS = "array<struct<tag:bigint,kind:int,places:binary>>"
 
 
+#: Stands for a null id, so that no filter on nulls sets one exchange of the texts apart from another.
+NO_ID = -(1 << 63)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(``doc``, ``tag``, ``text``): the tag tells rows with one id but different texts apart."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
-    """(``doc``, ``tag``) of rows whose whole text is also that of a smaller id."""
-    whole = rows.filter("doc is not null").select("doc", "tag", F.xxhash64(F.lit(7), "text").alias("tag2"))
-    least = whole.groupBy("tag", "tag2").agg(F.min("doc").alias("least"))
-    return whole.join(least, ["tag", "tag2"]).filter("doc > least").select("doc", F.col("tag").alias("copy_tag")).distinct()
+    """(``doc``, ``copy_tag``) of rows whose whole text is also that of a smaller id, and of rows without an id."""
+    whole = rows.select("doc", "tag", F.xxhash64(F.lit(7), "text").alias("tag2"))
+    least = whole.filter(f"doc > {NO_ID}").groupBy("tag", "tag2").agg(F.min("doc").alias("least"))
+    later = whole.join(least, ["tag", "tag2"]).filter("doc > least")
+    return later.union(whole.filter(f"doc = {NO_ID}").withColumn("least", F.col("doc")).select(*later.columns)).select("doc", F.col("tag").alias("copy_tag")).distinct()
 
 
 def even_splitters(buckets: int) -> np.ndarray:
@@ -351,7 +356,7 @@ def repeated(docs: DataFrame, spec: Windows, id_col: str, text_col: str, splitte
     texts = keyed(docs, id_col, text_col).repartition(parts, "doc")
     rows = texts.join(copies.groupBy("doc").agg(F.collect_set("copy_tag").alias("copy_tags")).hint("shuffle_hash"), "doc", "left")
     rows = rows.select("doc", "tag", "text", F.coalesce(F.array_contains("copy_tags", F.col("tag")), F.lit(False)).alias("copy"))
-    once = rows.filter("not copy and doc is not null").select("doc", "tag", "text")
+    once = rows.filter("not copy").select("doc", "tag", "text")
     blob, hit = "bucket int, blob binary", "doc long, tag long, kind int, places binary"
 
     def exchanged(blobs: DataFrame) -> DataFrame:
@@ -365,4 +370,6 @@ def repeated(docs: DataFrame, spec: Windows, id_col: str, text_col: str, splitte
     at_edges = once.join(hits, "doc").filter(F.exists("hits", lambda h: h["kind"] == EDGE))
     more = by_doc(map_arrow(exchanged(map_arrow(at_edges, emit, blob)), settle, hit)).withColumnRenamed("hits", "more")
     both = F.concat(F.coalesce("hits", F.array().cast(_HITS)), F.coalesce("more", F.array().cast(_HITS)))
-    return rows.join(hits, "doc", "left").join(more, "doc", "left").select("doc", "tag", "text", "copy", both.alias("hits"))
+    return rows.join(hits, "doc", "left").join(more, "doc", "left").select(
+        F.nullif("doc", F.lit(NO_ID)).alias("doc"), "tag", "text", (F.col("copy") & (F.col("doc") > NO_ID)).alias("copy"), both.alias("hits")
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprints, language, neardup, packing, quality, secrets, substrings, suffixes
+from graphloom.llm import fingerprints, language, neardup, packing, pieces, quality, secrets, substrings, suffixes, toxicity
 from graphloom.session import table
 
 
@@ -13,10 +13,24 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_sentencepiece(spark, sf_dir):
+    """Ids of every text (their number and checksum), and whether decoding gives the text back."""
+    out = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents")))
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    return out.select("doc_id", (F.length("ids") / 2).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
+
+
 def op2_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    labelled = docs.join(labels, "doc_id").filter(remainder(5) != 0)
+    found = toxicity.toxicity(docs, labelled)
+    return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op6_languages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = language.languages(docs, learn=remainder(3) != 1)
@@ -49,6 +63,8 @@ def op10_secret_scans(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op5_toxicity": op5_toxicity,
     "op2_fingerprints": op2_fingerprints,
     "op6_languages": op6_languages,
     "op3_packing": op3_packing,

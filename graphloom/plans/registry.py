@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import evaluation, fusion, graph, quality, walk, weighting
+from graphloom.operators import evaluation, fusion, graph, kernels, quality, text_graph, walk, weighting
 from graphloom.session import table
 
 FLAGSHIP = "arcte_local_communities"
@@ -443,3 +443,40 @@ def valid_train_test(spark, sf_dir):
 def fold_stats(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return evaluation.fold_stats(o.select(F.col("o_orderpriority").alias("pct"), F.col("o_orderkey").alias("trial"), F.col("o_totalprice").alias("value")))
+
+
+@query(ORACLE_SQL["arcte_local_communities"])
+def arcte_fifo(spark, sf_dir):
+    """Queue order; on this bipartite graph the same communities as with a frontier."""
+    return kernels.local_communities_fifo(edges(spark, sf_dir), RHO, EPSILON)
+
+
+@query()
+def arcte_lazy_fifo(spark, sf_dir):
+    return kernels.local_communities_fifo(edges(spark, sf_dir), RHO, EPSILON, "lazy")
+
+
+@query()
+def mroc(spark, sf_dir):
+    return kernels.merged_communities(edges(spark, sf_dir), 1000)
+
+
+@query()
+def arcte_rank_cut(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return kernels.rank_cut_communities(e, walk.similarities(e, RHO, EPSILON))
+
+
+@query()
+def iterative_stratification(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return kernels.iterative_stratification(c.select(F.col("c_custkey").alias("node"), F.crc32("c_mktsegment").alias("label")), 0.5)
+
+
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+d AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.e, b.e), 9) AS w FROM v a CROSS JOIN v b WHERE a.vec_id % 50 = 0)
+SELECT src, dst, w FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY w, dst) <= 5""")
+def knn_graph(spark, sf_dir):
+    """Neighbours of every vector whose id is divisible by 50, against all vectors."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return text_graph.nearest(v, v.filter("vec_id % 50 = 0"), 5)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import evaluation, fusion, graph, kernels, quality, text_graph, walk, weighting
+from graphloom.operators import evaluation, fusion, graph, kernels, quality, spectral, text_graph, walk, weighting
 from graphloom.session import table
 
 FLAGSHIP = "arcte_local_communities"
@@ -480,3 +480,13 @@ def knn_graph(spark, sf_dir):
     """Neighbours of every vector whose id is divisible by 50, against all vectors."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return text_graph.nearest(v, v.filter("vec_id % 50 = 0"), 5)
+
+
+@query()
+def laplacian_eigenmaps(spark, sf_dir):
+    return spectral.laplacian_eigenmaps(edges(spark, sf_dir), 4, 10)
+
+
+@query()
+def replicator_eigenmaps(spark, sf_dir):
+    return spectral.replicator_eigenmaps(edges(spark, sf_dir), 3, 10)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import evaluation, fusion, graph, kernels, quality, spectral, text_graph, walk, weighting
+from graphloom.operators import evaluation, fusion, graph, kernels, learn, quality, spectral, text_graph, walk, weighting
 from graphloom.session import table
 
 FLAGSHIP = "arcte_local_communities"
@@ -490,3 +490,13 @@ def laplacian_eigenmaps(spark, sf_dir):
 @query()
 def replicator_eigenmaps(spark, sf_dir):
     return spectral.replicator_eigenmaps(edges(spark, sf_dir), 3, 10)
+
+
+@query()
+def ovr_linear(spark, sf_dir):
+    """Market segments of customers from the suppliers they buy from: scores of all labels."""
+    f = weighting.normalize_rows(_features(spark, sf_dir))
+    lab = _segments(spark, sf_dir).select("node", F.col("c_mktsegment").alias("label"))
+    trained = lab.filter("node % 4 <> 0")
+    weights = learn.fit_linear(f.join(trained.select("node"), "node"), trained, iterations=5)
+    return learn.decision_values(f, weights)

@@ -75,4 +75,4 @@ QUERIES = {
     "op10_secret_scans": op10_secret_scans,
 }
 
-ORACLE_SQL = {"op9_quality_rules": quality.ORACLE_SQL}
+ORACLE_SQL = {"op9_quality_rules": quality.ORACLE_SQL, "op10_secret_scans": secrets.ORACLE_SQL}

@@ -198,7 +198,8 @@ def secret_scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
     n_base = sum(r.base for r in rules)
     spans = F.col("_spans")
     base = F.filter(spans, lambda s: s["kind"] < n_base)
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(rules) if r.base]
+    kinds = F.transform(spans, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(rules) if r.base]
     return with_spans(docs.select(id_col, text_col), rules, id_col, text_col).select(
         F.col(f"_row.`{id_col}`").alias(id_col), *counts, F.sha2(_joined(base, rules), 256).alias("base_sha256"), _joined(spans, rules).alias("spans")
     )
@@ -217,3 +218,24 @@ def redacted_documents(docs: DataFrame, rules=RULES, id_col: str = "doc_id", tex
     rebuilt = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
     text = F.when(F.size(spans) == 0, F.col(f"_row.`{text_col}`")).otherwise(rebuilt)
     return with_spans(docs, rules, id_col, text_col).select(*[(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _oracle(rules=RULES) -> str:
+    """DuckDB SQL of ``op10_secret_scans``."""
+    parts = []
+    for k, r in enumerate(rules):
+        rx = r.regex.replace("'", "''")
+        size = "list_sum(list_transform({}, lambda x: length(x)))"
+        begin = f"{size.format('p[1:i]')} + coalesce({size.format('m[1:i - 1]')}, 0)"
+        parts.append(f"""SELECT doc_id, {k} AS k, '{r.kind}' AS kind, z.s AS s, z.e AS e FROM (
+  SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': CAST({begin} AS BIGINT), 'e': CAST({begin} + length(m[i]) AS BIGINT), 'v': length(v[i])}})) AS z FROM (
+    SELECT doc_id, string_split_regex(t, '{rx}') AS p, regexp_extract_all(t, '{rx}', 0) AS m, regexp_extract_all(t, '{rx}', {r.group}) AS v FROM d WHERE regexp_matches(t, '{rx}'))) WHERE z.v >= {r.least}""")
+    text = "string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, k, e)"
+    n_base = sum(r.base for r in rules)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in rules if r.base)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({' UNION ALL '.join(parts)})
+SELECT doc_id, {counts}, sha256(coalesce({text} FILTER (k < {n_base}), '')) AS base_sha256, coalesce({text} FILTER (k IS NOT NULL), '') AS spans
+FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id"""
+
+
+ORACLE_SQL = _oracle()

@@ -215,6 +215,7 @@ def test_secret_scans(docs, empty):
         spans = sorted((m.start(), k, m.end(), kind) for k, (kind, rx, ok) in enumerate(rules) for m in re.finditer(rx, TEXTS[i] or "") if ok(m))
         text = ",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in spans)
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[1] == k for s in spans) for k in range(3)]
     assert secrets.secret_scan(empty).count() == 0
     masked = [r.text for r in secrets.redacted_documents(docs).filter("text like '%[SECRET]%'").collect()]
     assert len(masked) == 1 and "abcdefgh1234" not in masked[0] and "AKIA" not in masked[0]

@@ -26,8 +26,7 @@ def op2_fingerprints(spark, sf_dir):
 
 def op5_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    labelled = docs.join(labels, "doc_id").filter(remainder(5) != 0)
-    found = toxicity.toxicity(docs, labelled)
+    found = toxicity.toxicity(docs, labels.filter(remainder(5) != 0))
     return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 

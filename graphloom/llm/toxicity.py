@@ -157,14 +157,16 @@ def _scored(batches, model, name):
 def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per row of ``docs``: id, ``score``, ``predicted``.
 
-    ``labelled`` has ``text_col`` and ``label_col`` (1 toxic, 0 not): about ``sample_rows`` rows of each label,
-    picked by a hash of the id, are brought to the driver; nothing else is.
+    ``labelled`` has ``id_col`` and ``label_col`` (1 toxic, 0 not): about ``sample_rows`` ids of each label are
+    picked by a hash of the id and broadcast, and their texts are brought to the driver; nothing else is.
     """
-    rows = labelled.select(F.col(f"`{id_col}`").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.col(f"`{label_col}`").alias("label")).filter("label in (0, 1)")
+    rows = labelled.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{label_col}`").alias("label")).filter("label in (0, 1)")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, F.lit(sample_rows / max(1, sizes.get(1, 1)))).otherwise(F.lit(sample_rows / max(1, sizes.get(0, 1))))
     picked = F.xxhash64("doc", F.lit(5))
-    some = rows.filter(F.pmod(picked, F.lit(1_000_000)) < share * 1_000_000).select("text", "label", picked.alias("h")).collect()
+    ids = rows.filter(F.pmod(picked, F.lit(1_000_000)) < share * 1_000_000).select("doc", "label", picked.alias("h"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    some = texts.join(F.broadcast(ids), "doc").select("text", "label", "h").collect()
     model = fitted([(r.text.encode(), int(r.label)) for r in sorted(some, key=lambda r: (r.h, r.text))])
     kind = docs.schema[id_col].dataType.simpleString()
     all_rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

@@ -8,8 +8,10 @@
    id meet in one shard; a signature too large for a shard is split by document.
 4. A shard builds its inverted index. In order of ids each unused document seeds a window: whole
    windows first, then its rest is joined by the unused neighbours that BM25 ranks highest for
-   its rarest terms and that fit; the best one that does not fit is cut to close the window, and
-   what is left of it stays unused. The shard's last ids go to sequences of powers of two.
+   its terms and that fit, block by block down the ranking; the best one of a block that does not
+   fit is cut to close the window, and what is left of it stays unused. Only when no unused
+   document of the shard shares a term do the next ones by id follow. The shard's last ids go to
+   sequences of powers of two.
 
 Defined results: a null or empty text is the end id alone. A null id is a value like any other.
 Repeated rows are packed each for itself. Other columns are ignored, whatever their names. An
@@ -34,9 +36,8 @@ WINDOW = 4096
 END = 2
 VOCABULARY = 49_408
 SHARD_TOKENS = 3 << 20
-#: BM25's constants, terms asked for of a seed, and neighbours looked at in turn.
+#: BM25's constants, and the neighbours in the first block of a ranking; each further block is twice as long.
 K1, B = 1.2, 0.75
-QUERY_TERMS = 16
 NEIGHBOURS = 48
 #: An id in more than this share of documents is not a signature.
 COMMON = 0.05
@@ -127,6 +128,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
     norm = K1 * (1 - B + B * sizes / mean)
     flat, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float32)
     weight = (idf[flat] * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float32)
+    weight[flat == END] = 0  # the end id is no term
     first = np.concatenate(([0], np.cumsum([len(t) for t in terms])))
     order = np.argsort(flat, kind="stable")
     posted, posted_weight = owner[order], weight[order]
@@ -143,35 +145,41 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
         at += length
         rest -= length
 
-    def neighbours(d: int) -> np.ndarray:
+    def neighbours(d: int):
+        """Blocks of the unused documents that share a term with ``d``, best first, smaller index on ties."""
         mine = slice(first[d], first[d + 1])
-        best = np.argsort(-weight[mine], kind="stable")[:QUERY_TERMS]
         score = np.zeros(len(docs), np.float32)
-        for t, w in zip(flat[mine][best], weight[mine][best]):
+        for t, w in zip(flat[mine], weight[mine]):
             p = slice(begins[t], begins[t + 1])
             score[posted[p]] += w * posted_weight[p]
         score[left == 0] = 0
         score[d] = 0
-        near = np.argpartition(-score, min(NEIGHBOURS, len(docs) - 1))[:NEIGHBOURS]
-        near = near[score[near] > 0]
-        return near[np.lexsort((near, -score[near]))]
+        near, size = np.flatnonzero(score), NEIGHBOURS
+        while len(near):
+            mark = np.partition(score[near], -size)[-size] if len(near) > size else 0
+            best, near = near[score[near] >= mark], near[score[near] < mark]
+            yield best[np.lexsort((best, -score[best]))]
+            size *= 2
 
     for seed in range(len(docs)):
         while left[seed] and rest >= window:
-            near = neighbours(seed) if left[seed] < window else ()
+            blocks = neighbours(seed) if left[seed] < window else ()
             put(seed, window)
-            cut = None
-            for d in near:
-                if left[d] <= window - at:
-                    put(int(d), window)
-                elif cut is None:
-                    cut = int(d)
+            for near in blocks:
+                cut = None
+                for d in near:
+                    if left[d] <= window - at:
+                        put(int(d), window)
+                    elif cut is None:
+                        cut = int(d)
+                    if at == window:
+                        break
+                if at < window and cut is not None:
+                    put(cut, window - at)
                 if at == window:
                     break
-            if at < window and cut is not None:
-                put(cut, window - at)
             after = seed + 1
-            while at < window:  # no neighbour is left: the next unused documents
+            while at < window:  # no unused document shares a term: the next ones by id
                 if left[after]:
                     put(after, window - at)
                 after += 1

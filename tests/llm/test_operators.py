@@ -94,6 +94,20 @@ def test_packing(docs, empty):
     assert packing.packed(empty).count() == 0
 
 
+def test_packing_walks_the_whole_ranking():
+    # Of 600 short documents every other one shares a term with the first; they come before all others.
+    docs = [np.array([100, 1000 + i, 2], np.uint16) if i % 2 == 0 else np.array([200, 1000 + i, 2], np.uint16) for i in range(600)]
+    idf = np.full(packing.VOCABULARY, 1.0, np.float32)
+    window = 3 * 256
+    found = packing.pack_shard(docs, idf, 3.0, window)
+    assert {d % 2 for d, _, _, sequence, _ in found if sequence == 0} == {0}
+    # A seed whose 16 best terms are its own, and whose common term it shares with the last documents only.
+    docs = [np.array([*range(3000, 3040), 300, 2], np.uint16)] + [np.array([4000 + i, 2], np.uint16) for i in range(100)] + [np.array([300, 2], np.uint16) for i in range(100)]
+    idf[300] = 0.01
+    found = packing.pack_shard(docs, idf, 3.0, 142)
+    assert {d for d, _, _, sequence, _ in found if sequence == 0} == {0, *range(101, 151)}
+
+
 def _shingles(text, k):
     w = (text or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()

@@ -484,12 +484,12 @@ def knn_graph(spark, sf_dir):
 
 @query()
 def laplacian_eigenmaps(spark, sf_dir):
-    return spectral.laplacian_eigenmaps(edges(spark, sf_dir), 4, 10)
+    return spectral.laplacian_eigenmaps(edges(spark, sf_dir), 4)
 
 
 @query()
 def replicator_eigenmaps(spark, sf_dir):
-    return spectral.replicator_eigenmaps(edges(spark, sf_dir), 3, 10)
+    return spectral.replicator_eigenmaps(edges(spark, sf_dir), 3)
 
 
 @query()
@@ -498,5 +498,5 @@ def ovr_linear(spark, sf_dir):
     f = weighting.normalize_rows(_features(spark, sf_dir))
     lab = _segments(spark, sf_dir).select("node", F.col("c_mktsegment").alias("label"))
     trained = lab.filter("node % 4 <> 0")
-    weights = learn.fit_linear(f.join(trained.select("node"), "node"), trained, iterations=5)
+    weights = learn.fit_linear(f.join(trained.select("node"), "node"), trained, iterations=1000, tolerance=1e-4)
     return learn.decision_values(f, weights)

@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(conf)
         return conf
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -35,13 +37,17 @@ def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._graphloom_path = path
+    return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (never a local one)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def discard(*tables: DataFrame | None) -> None:
+    """Delete ``written`` tables (None is passed over) that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._graphloom_path)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shipped(spark: SparkSession) -> None:

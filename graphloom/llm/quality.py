@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Every rule is a condition that rejects a document. A sample tells what each rule costs and
-how many documents it rejects; the cascade then asks the rule with the most rejections per
-second first, and a document that one rule rejects is never put to the next. The order
-changes the time, never the verdict.
+Every rule is a condition that rejects a document. A sample, picked by a hash of the text,
+tells what each rule costs and which of its documents it rejects. The cascade asks the rule
+with the most rejections per cost first, then that with the most of what is left, and so on; a
+document that one rule rejects is never put to the next. Costs are units of work that follow
+from the texts (characters read, times the price of how they are read), not clock times, so the
+same table always gives the same order. The order changes the work, never the verdict.
 
 Defined results: a null or empty text has no words, so the base rule rejects it. Repeated
 rows and tied ids are judged one by one. Columns beside the id and the text are carried by
@@ -13,13 +15,14 @@ gives an empty table.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import discard, written
+
 #: What parts words, and what counts as a symbol.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -29,16 +32,24 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: Rows of the sample that orders the cascade, at most.
+#: Rows of the sample that orders the cascade, about.
 SAMPLE_ROWS = 1000
 
+#: Units of work: one for a rule that only compares measures; per character of the text that it
+#: reads, by copying (translate, replace), by splitting, or by a regular expression of Unicode classes.
+COMPARED, COPIED, SPLIT, MATCHED = 1.0, 0.01, 0.02, 0.1
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A name and the condition that rejects, from the text and its measured columns."""
+    """A name, the condition that rejects, from the text and its measured columns, and its work per character."""
 
     name: str
     rejects: Callable[[Column, Column], Column]
+    per_char: float = 0.0
+
+    def cost(self, text: Column) -> Column:
+        return F.lit(COMPARED) + F.length(text) * F.lit(self.per_char)
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -48,11 +59,11 @@ def _count(text: Column, chars: str) -> Column:
 #: text, measured struct -> rejected. Each reads the text by itself, so that the cascade saves work.
 RULES = (
     Rule("symbols", lambda t, m: m["n_symbols"] * 10 > m["n_words"]),
-    Rule("repeated_lines", lambda t, m: m["n_dup_lines"] * 10 > F.size(F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")) * 3),
+    Rule("repeated_lines", lambda t, m: m["n_dup_lines"] * 10 > F.size(F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")) * 3, SPLIT),
     Rule("word_length", lambda t, m: (m["word_chars"] < m["n_words"] * 3) | (m["word_chars"] > m["n_words"] * 12)),
-    Rule("letters", lambda t, m: F.regexp_count(t, F.lit(r"\p{L}")) * 10 < m["word_chars"] * 7),
-    Rule("shouting", lambda t, m: F.regexp_count(t, F.lit(r"\p{Lu}")) * 2 > m["word_chars"]),
-    Rule("exclamations", lambda t, m: _count(t, "!") * 3 > m["n_words"]),
+    Rule("letters", lambda t, m: F.regexp_count(t, F.lit(r"\p{L}")) * 10 < m["word_chars"] * 7, MATCHED),
+    Rule("shouting", lambda t, m: F.regexp_count(t, F.lit(r"\p{Lu}")) * 2 > m["word_chars"], MATCHED),
+    Rule("exclamations", lambda t, m: _count(t, "!") * 3 > m["n_words"], COPIED),
 )
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -98,16 +109,27 @@ def base_failed(m: Column) -> Column:
 
 
 def cascade_order(docs: DataFrame, text: Column, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejected rows per second on a sample of at most ``sample_rows`` rows."""
-    sample = measured(docs.select(text.alias("_text")).limit(sample_rows), F.col("_text")).cache()
-    n = sample.count()
-    rated = []
-    for rule in rules if n else ():
-        began = time.perf_counter()
-        hit = sample.agg(F.count_if(rule.rejects(F.col("_t"), F.col("_m")))).first()[0]
-        rated.append((-(hit + 0.5) / (time.perf_counter() - began), rule.name, rule))
-    sample.unpersist()
-    return [x[-1] for x in sorted(rated, key=lambda x: x[:2])] or list(rules)
+    """The rules by rejections per cost among the sample's documents that the rules before them leave.
+
+    One job counts the sample's documents by the set of rules that reject them (at most 2 to the
+    power of the number of rules) and adds up the costs.
+    """
+    share = F.lit(min(1.0, sample_rows / max(docs.count(), 1)) * (1 << 20))
+    sample = docs.select(text.alias("_text")).filter(F.pmod(F.xxhash64("_text", F.lit(9)), F.lit(1 << 20)) < share)
+    table = written(measured(sample, F.col("_text")).select("_t", "_m"))  # else each rule would repeat the measures
+    sample = table.filter(~base_failed(F.col("_m")))
+    hits = F.array(*[F.coalesce(r.rejects(F.col("_t"), F.col("_m")), F.lit(False)) for r in rules]) if rules else F.array().cast("array<boolean>")
+    costs = [F.sum(r.cost(F.col("_t"))).alias(f"cost{k}") for k, r in enumerate(rules)]
+    groups = sample.select(hits.alias("hits"), "_t").groupBy("hits").agg(F.count(F.lit(1)).alias("n"), *costs).collect()
+    discard(table)
+    order, left = [], list(range(len(rules)))
+    while left:
+        open_ = [g for g in groups if not any(g.hits[k] for k in order)]
+        price = lambda k: sum(g[f"cost{k}"] for g in open_) or 1.0
+        best = min(left, key=lambda k: (-(sum(g.n for g in open_ if g.hits[k]) + 0.5) / price(k), k))
+        order.append(best)
+        left.remove(best)
+    return [rules[k] for k in order]
 
 
 def verdict(t: Column, m: Column, rules: list[Rule]) -> Column:

@@ -1,10 +1,13 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
 Each rule's regular expression is turned into a Boolean query of trigrams that any match must
-contain. An inverted index holds, for every trigram that some query names, the documents
-whose lower-cased text has it. Intersecting and uniting those postings leaves the candidates
-of a rule; only their texts are searched with the expression itself. A rule without
-mandatory trigrams (``hex``) scans every text.
+contain. An inverted index holds, for every trigram that some query names, the postings: the
+numbers (hashes of the ids) of the documents whose lower-cased text has it. The index is dealt
+into blocks of about ``BLOCK_DOCS`` documents by number, so that no posting list grows with the
+table. Intersecting and uniting the postings of a block leaves a rule's candidates; only their
+texts are searched with the expression itself. Documents with one number (rows that share an id)
+are candidates together, which costs a search and changes no result. A rule without mandatory
+trigrams (``hex``) scans every text.
 
 Defined results: a null text is empty and has no spans; a null id is a value like any other;
 rows that share an id are searched one by one. Offsets are code points, end exclusive, and
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +54,9 @@ RULES = (
 #: Most strings that a run of an expression may stand for before it is closed.
 MOST_STRINGS = 64
 
+#: Documents whose postings lie together, about.
+BLOCK_DOCS = 4096
+
 TRUE = ("true",)
 
 
@@ -130,31 +137,32 @@ def trigrams(query: tuple) -> set[str]:
     return {query[1]} if query[0] == "tri" else set().union(*(trigrams(x) for x in query[1:] if isinstance(x, tuple)))
 
 
-def _holds(query: tuple, present: Column, ids: dict[str, int]) -> Column:
-    if query[0] == "tri":
-        return F.array_contains(present, ids[query[1]])
-    parts = [_holds(x, present, ids) for x in query[1:]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = (out & p) if query[0] == "and" else (out | p)
-    return out
-
-
-def trigram_index(docs: DataFrame, wanted: dict[str, int], id_col: str, text_col: str) -> DataFrame:
-    """Postings (``tri`` int, ``_id``) of the wanted trigrams, over all documents."""
+def trigram_index(docs: DataFrame, wanted: dict[str, int], id_col: str, text_col: str, blocks: int) -> DataFrame:
+    """The inverted index: (``block``, ``tri``, ``numbers``) for the wanted trigrams, over all documents."""
     low = F.col("_low")
     seen = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(i)) for t, i in wanted.items()]))
-    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.lower(f"`{text_col}`").alias("_low")).select("_id", F.explode(seen).alias("tri"))
+    number = F.xxhash64(F.col(f"`{id_col}`"))
+    posts = docs.select(number.alias("_number"), F.lower(f"`{text_col}`").alias("_low")).select("_number", F.explode(seen).alias("tri"))
+    return posts.groupBy(F.pmod("_number", F.lit(blocks)).alias("block"), "tri").agg(F.collect_set("_number").alias("numbers"))
+
+
+def _matching(query: tuple, postings: Column, ids: dict[str, int]) -> Column:
+    """Numbers of a block's documents that satisfy a query: intersected and united postings."""
+    if query[0] == "tri":
+        return F.coalesce(F.try_element_at(postings, F.lit(ids[query[1]])), F.array().cast("array<bigint>"))
+    parts = [_matching(x, postings, ids) for x in query[1:]]
+    return reduce(F.array_intersect if query[0] == "and" else F.array_union, parts)
 
 
 def candidates(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``_id``, ``_rules`` array of kinds): documents that satisfy a rule's trigram query."""
+    """(``_number``, ``_rules`` array of kinds): documents that satisfy a rule's trigram query."""
     asked = {r.kind: q for r in rules if (q := trigram_query(r.regex)) != TRUE}
     wanted = {t: i for i, t in enumerate(sorted(set().union(*map(trigrams, asked.values()))))}
-    post = trigram_index(docs, wanted, id_col, text_col)
-    by_doc = post.groupBy("_id").agg(F.collect_set("tri").alias("_tris"))
-    kinds = F.array_compact(F.array(*[F.when(_holds(q, F.col("_tris"), wanted), F.lit(k)) for k, q in asked.items()]))
-    return by_doc.select("_id", kinds.alias("_rules")).filter(F.size("_rules") > 0)
+    index = trigram_index(docs, wanted, id_col, text_col, max(1, -(-docs.count() // BLOCK_DOCS)))
+    by_block = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("tri", "numbers"))).alias("postings"))
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), _matching(q, F.col("postings"), wanted).alias("numbers")) for k, q in asked.items()])
+    each = by_block.select(F.explode(found).alias("found")).select("found.kind", F.explode("found.numbers").alias("_number"))
+    return each.groupBy("_number").agg(F.collect_set("kind").alias("_rules"))
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -178,9 +186,8 @@ def _spans(text: Column, rule: Rule, k: int) -> Column:
 
 def with_spans(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_row`` (the input row) and ``_spans``: array of (start, kind index, end) by start, then kind."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
-    found = candidates(docs.select(id_col, text_col), rules, id_col, text_col)
-    rows = rows.join(found, F.col("_key").eqNullSafe(F.col("_id")), "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(F.col(f"`{id_col}`")).alias("_number"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
+    rows = rows.join(candidates(docs.select(id_col, text_col), rules, id_col, text_col), "_number", "left")
     none, parts = F.array().cast(_SPAN), []
     for k, rule in enumerate(rules):
         asked = F.lit(True) if trigram_query(rule.regex) == TRUE else F.array_contains("_rules", rule.kind)

@@ -6,10 +6,12 @@ is its anchor. Equal windows have equal anchors at equal places, so only anchors
 ``window - gram + 2`` units, are exchanged and sorted; they are the sparse suffixes.
 
 Around an anchor lies its context: all windows that hold it. Of occurrences with one context
-all but the first are covered throughout. Where an anchor has several contexts, the first
-occurrence of each (an edge of a repeat) is looked at window by window in a second exchange.
+(equal in 96 bits of hashes) all but the first are covered throughout. Where an anchor has several
+contexts, the first occurrence of each (an edge of a repeat) is sent in full, as the text itself,
+and looked at window by window in a second exchange.
 
-Rows between tasks are (bucket, bytes of NumPy arrays); a bucket is a range of anchor hashes.
+Rows between tasks are (bucket, bytes of NumPy arrays); a bucket is a range of what anchors are
+dealt by (``lead``), and there are so many that each belongs to about ``BUCKET_BYTES`` of text.
 All of it is one lazy plan over one exchange of the texts by id, which Spark reuses.
 """
 
@@ -32,15 +34,21 @@ _B = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
 
 
+#: Bytes of text to a bucket, about.
+BUCKET_BYTES = 24 << 20
+
+
 @dataclass(frozen=True)
 class Windows:
-    """``units``: (data, offsets) -> a 64-bit value per unit, and each text's first unit (with the total)."""
+    """``units``: (data, offsets) -> a 64-bit value per unit, each text's first unit (with the total), and its bytes' begin and end."""
 
     units: Callable
     window: int
     gram: int
     #: Whether an earlier occurrence in the same document covers a later one.
     within: bool
+    #: (scan, anchors) -> 64-bit values by whose ranges anchors are dealt to buckets; equal for equal anchors.
+    lead: Callable
 
     @property
     def grams(self) -> int:
@@ -57,6 +65,27 @@ def word_units(data, offsets):
     return arrays.word_hashes(data, starts, ends), firsts
 
 
+def leading_words(data: np.ndarray) -> np.ndarray:
+    """At each byte the eight from there on as one number, the first the highest (zeros after the end)."""
+    out = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        out[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * (7 - k))
+    return out
+
+
+def leading_bytes(scan, at: np.ndarray) -> np.ndarray:
+    """The first eight bytes of the suffixes at anchors, in byte order."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(min(8, scan.spec.gram)):
+        out |= scan.data[at + k].astype(np.uint64) << np.uint64(8 * (7 - k))
+    return out
+
+
+def leading_hash(scan, at: np.ndarray) -> np.ndarray:
+    """Anchor hashes spread evenly again (the smallest of a window are not)."""
+    return arrays.mixed(scan.gram[at] ^ _B)
+
+
 def pack(**parts) -> bytes:
     out = io.BytesIO()
     for a in parts.values():
@@ -85,7 +114,7 @@ class Scan:
     """Anchors and windows of the texts of one block."""
 
     def __init__(self, spec: Windows, data, offsets):
-        self.spec = spec
+        self.spec, self.data, self.offsets = spec, data, offsets
         self.values, self.firsts = spec.units(data, offsets)
         n, w = len(self.values), spec.window
         self.text_of = np.repeat(np.arange(len(self.firsts) - 1), np.diff(self.firsts))
@@ -117,6 +146,11 @@ class Scan:
         return arrays.mixed(self.of(begin, end - begin) + (at - begin).astype(np.uint64) * np.uint64(1000) + (end - at).astype(np.uint64))
 
 
+def _strings(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of byte strings, and the strings on end."""
+    return np.array([len(x) for x in column], np.uint32), np.frombuffer(b"".join(column), np.uint8)
+
+
 def _by_bucket(bucket: np.ndarray, text: np.ndarray, ids: np.ndarray, tags: np.ndarray, columns: list[np.ndarray]):
     """(bucket, blob) rows: a table of texts and their counts, then the columns."""
     order = np.lexsort((text, bucket))
@@ -129,7 +163,8 @@ def _by_bucket(bucket: np.ndarray, text: np.ndarray, ids: np.ndarray, tags: np.n
             new = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1))
             rows = part[new]
             counts = np.diff(np.concatenate((new, [b - a]))).astype(np.uint32)
-            yield int(bucket[a]), pack(ids=ids[rows], tags=tags[rows], counts=counts, **{str(k): c[a:b] for k, c in enumerate(columns)})
+            sent = [x for c in columns for x in (_strings(c[a:b]) if c.dtype == object else (c[a:b],))]
+            yield int(bucket[a]), pack(ids=ids[rows], tags=tags[rows], counts=counts, **{str(k): c for k, c in enumerate(sent)})
 
 
 def _rows(rows, names, types):
@@ -141,22 +176,16 @@ BLOBS = (["bucket", "blob"], [pa.int32(), pa.binary()])
 HITS = (["doc", "tag", "kind", "places"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
 
 
-def anchor_keys(fp: np.ndarray) -> np.ndarray:
-    """Anchor hashes spread evenly again (the smallest of a window are not)."""
-    return arrays.mixed(fp ^ _B)
-
-
 def _anchors(batches, spec: Windows, splitters: np.ndarray):
     for batch in arrays.blocks(batches, "text"):
         scan = Scan(spec, *arrays.text_bytes(batch.column("text")))
         at = scan.anchors
         if not len(at):
             continue
-        key = anchor_keys(scan.gram[at])
         text = scan.text_of[at]
         ids, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy().astype(np.uint32)
-        bucket = np.searchsorted(splitters, key, "right")
-        columns = [key.astype(np.uint32), scan.context_hashes(at), (at - scan.firsts[text]).astype(np.uint32)]
+        bucket = np.searchsorted(splitters, spec.lead(scan, at), "right")
+        columns = [arrays.mixed(scan.gram[at] ^ _B).astype(np.uint32), scan.context_hashes(at), (at - scan.firsts[text]).astype(np.uint32)]
         yield _rows(_by_bucket(bucket, text, ids, tags, columns), *BLOBS)
 
 
@@ -263,40 +292,43 @@ def _edge_texts(batches, spec: Windows, splitters: np.ndarray):
         data = arrays.text_bytes(batch.column("text"))[0]
         context, begin, _, mine = edge_contexts(scan, at, data)
         ids, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy().astype(np.uint32)
-        bucket = np.searchsorted(splitters, anchor_keys(scan.gram[at]), "right")
+        bucket = np.searchsorted(splitters, spec.lead(scan, at), "right")
         yield _rows(_by_bucket(bucket, text, ids, tags, [context, (begin - scan.firsts[text]).astype(np.uint32), mine]), *BLOBS)
 
 
-#: Contexts whose windows are hashed at once.
-AT_ONCE = 4096
+def equal_strings(words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of the strings of ``length`` bytes that begin at places ``at``: (which, group).
+
+    A character is eight bytes (``words``: see ``leading_words``). Strings are parted by their first character,
+    each part that is not a single string by its second one, and so on; what is left is ``which`` strings
+    have an equal one, in order, and equal ones share a ``group``.
+    """
+    which, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    for depth in range(0, length, 8):
+        key = words[at[which] + depth]
+        if length - depth < 8:
+            key = key >> np.uint64(8 * (8 - length + depth))
+        order = np.lexsort((key, group)) if depth else np.argsort(key, kind="stable")
+        which, group, key = which[order], group[order], key[order]
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])))[: len(which)]
+        several = ~(new & np.concatenate((new[1:], [True]))[: len(which)])
+        which, group = which[several], np.cumsum(new)[several]
+    return which, group
 
 
 def _sorted_windows(batches, spec: Windows):
-    """Hash the windows of a bucket's edges, sort them, and find those that a smaller document has."""
+    """Sort the windows of a bucket's edges byte by byte, compare neighbours, and find those that a smaller document has."""
     width, size = spec.window + spec.grams - 1, spec.window
-    powers, back = powers_of(_B, width), powers_of(_B_INV, width)
     for _, ids, tags, (context, begin, mine) in _gathered(batches, np.uint8, np.uint32, np.uint64):
-        context = context.reshape(-1, width)
-        keys, owners, places = [], [], []
-        for a in range(0, len(context), AT_ONCE):
-            part = arrays.BYTE_VALUE[context[a : a + AT_ONCE]] * powers[None, :width]
-            sums = np.concatenate((np.zeros((len(part), 1), np.uint64), np.cumsum(part, axis=1)), axis=1)
-            hashes = (sums[:, size:] - sums[:, : spec.grams]) * back[None, : spec.grams]
-            row, k = np.nonzero(mine[a : a + AT_ONCE, None] >> np.arange(spec.grams, dtype=np.uint64)[None, :] & np.uint64(1))
-            keys.append(arrays.mixed(hashes[row, k]))
-            owners.append(row + a)
-            places.append(begin[row + a] + k.astype(np.uint32))
-        key, owner, place = (np.concatenate(x) for x in (keys, owners, places))
-        # A window that occurs once needs no further sorting.
-        order = np.argsort(key)
-        same = key[order[1:]] == key[order[:-1]]
-        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-        key, place, ids, tags = key[order], place[order], ids[owner[order]], tags[owner[order]]
-        order = np.lexsort((place, ids, key))
-        key, place, ids, tags = key[order], place[order], ids[order], tags[order]
-        if not len(key):
+        row, k = np.nonzero(mine[:, None] >> np.arange(spec.grams, dtype=np.uint64)[None, :] & np.uint64(1))
+        which, group = equal_strings(leading_words(context), row * width + k, size)
+        row, k = row[which], k[which]
+        place, ids, tags = begin[row] + k.astype(np.uint32), ids[row], tags[row]
+        order = np.lexsort((place, ids, group))
+        group, place, ids, tags = group[order], place[order], ids[order], tags[order]
+        if not len(group):
             continue
-        first = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(key)), 0))
+        first = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(len(group)), 0))
         later = ids > ids[first]
         if spec.within:
             later |= (ids == ids[first]) & (tags == tags[first]) & (place > place[first])
@@ -340,6 +372,12 @@ def later_copies(rows: DataFrame) -> DataFrame:
     return later.union(whole.filter(f"doc = {NO_ID}").withColumn("least", F.col("doc")).select(*later.columns)).select("doc", F.col("tag").alias("copy_tag")).distinct()
 
 
+def bucket_count(docs: DataFrame, text_col: str) -> int:
+    """Buckets for the bytes of all texts, at least one for each shuffle partition."""
+    total = docs.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+
+
 def even_splitters(buckets: int) -> np.ndarray:
     return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 

@@ -1,9 +1,11 @@
 """Substring dedup by repeated-phrase automata: words covered by a 20-word window seen earlier.
 
-Candidates come from ``repeats``. At the edges of repeats the contexts are sent to shards by their
-anchor phrase; a shard confirms which windows recur, compiles an Aho-Corasick automaton of them
-over word numbers, and streams every context of the shard through it to find all occurrences.
-Of each phrase every occurrence but the first (smallest id, then smallest start) is removed.
+Candidates come from ``repeats``. At the edges of repeats the contexts, as text, are sent to shards
+by their anchor phrase; a shard numbers their words, confirms which windows recur, compiles an
+Aho-Corasick automaton of them over the word numbers, and streams every context of the shard
+through it to find all occurrences, word by word. Of each phrase every occurrence but the first
+(smallest id, then smallest start) is removed. Of equal contexts (96 bits of hashes) and equal whole
+texts (128 bits) the first alone is streamed: what is found in it is in all of them.
 
 Defined results: a null or empty text has no words. A row with a null id keeps its whole text
 and covers nothing. Of rows that share an id but not the text, none comes first, so they do not
@@ -33,25 +35,33 @@ GRAM = 8
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _contexts(batches, spec, buckets: int):
-    """The word hashes of contexts at edges (padded with 0), to shards by anchor."""
+def _contexts(batches, spec, splitters: np.ndarray):
+    """The texts of contexts at edges, to shards by anchor."""
     for part, scan, text, at in repeats._edge_scans(batches, spec):
-        words, begin, *_ = repeats.edge_contexts(scan, at, scan.values)
+        begin, end = scan.contexts(at)
+        starts, ends, _ = arrays.word_bounds(scan.data, scan.offsets)
+        raw = scan.data.tobytes()
+        words = np.empty(len(at), object)
+        words[:] = [raw[a:b] for a, b in zip(starts[begin].tolist(), ends[end - 1].tolist())]
         ids, tags = part.column("doc").to_numpy(), part.column("tag").to_numpy().astype(np.uint32)
-        bucket = (repeats.anchor_keys(scan.gram[at]) % np.uint64(buckets)).astype(np.int64)
+        bucket = np.searchsorted(splitters, spec.lead(scan, at), "right")
         yield repeats._rows(repeats._by_bucket(bucket, text, ids, tags, [words, (begin - scan.firsts[text]).astype(np.uint32)]), *repeats.BLOBS)
 
 
 def _automata(batches, spec):
     width, size = spec.window + spec.grams - 1, spec.window
-    for _, ids, tags, (words, begin) in repeats._gathered(batches, np.uint64, np.uint32):
-        words = words.reshape(-1, width)
-        count = (words != 0).sum(1)
+    for _, ids, tags, (sizes, raw, begin) in repeats._gathered(batches, np.uint32, np.uint8, np.uint32):
+        ends = np.cumsum(sizes.astype(np.int64))
+        raw = raw.tobytes()
+        known: dict[bytes, int] = {}
+        rows = [[known.setdefault(w, len(known) + 1) for w in raw[a:b].split()] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+        count = np.array([len(r) for r in rows])
+        numbers = np.zeros((len(rows), width), np.int64)
+        numbers[np.arange(width)[None, :] < count[:, None]] = [n for r in rows for n in r]
         row, offset = np.nonzero(np.arange(spec.grams)[None, :] + size <= count[:, None])
-        numbers = np.unique(words, return_inverse=True)[1].reshape(words.shape)
-        whole = np.zeros((len(words), spec.grams), np.uint64)
+        whole = np.zeros((len(rows), spec.grams), np.uint64)
         for i in range(size):
-            whole = arrays.mixed(whole + words[:, i : i + spec.grams])
+            whole = arrays.mixed(whole + numbers[:, i : i + spec.grams].astype(np.uint64))
         # Confirm: a phrase recurs if two places have it.
         hashes, place = whole[row, offset], begin[row].astype(np.int64) + offset
         order = np.lexsort((place, tags[row], ids[row], hashes))
@@ -67,7 +77,7 @@ def _automata(batches, spec):
         for n, i in enumerate(sample):
             machine.add_word(tuple(numbers[row[i], offset[i] : offset[i] + size].tolist()), n)
         machine.make_automaton()
-        found = [(n, i, end) for i, c in enumerate(count) for end, n in machine.iter(tuple(numbers[i, :c].tolist()))]
+        found = [(n, i, end) for i, c in enumerate(count) for end, n in machine.iter(tuple(rows[i]))]
         phrase, i, end = np.array(found, np.int64).reshape(-1, 3).T
         start = begin[i].astype(np.int64) + end - size + 1
         order = np.lexsort((start, ids[i], phrase))
@@ -116,13 +126,13 @@ def _texts(batches, spec):
 
 def _found(docs, id_col, text_col, spec):
     copies = written(repeats.later_copies(repeats.keyed(docs, id_col, text_col)))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = partial(_contexts, spec=spec, buckets=buckets), partial(_automata, spec=spec)
-    return repeats.repeated(docs, spec, id_col, text_col, repeats.even_splitters(buckets), copies, edges)
+    splitters = repeats.even_splitters(repeats.bucket_count(docs, text_col))
+    edges = partial(_contexts, spec=spec, splitters=splitters), partial(_automata, spec=spec)
+    return repeats.repeated(docs, spec, id_col, text_col, splitters, copies, edges)
 
 
 def _spec(words: int, gram: int):
-    return repeats.Windows(repeats.word_units, words, min(gram, words), within=True)
+    return repeats.Windows(repeats.word_units, words, min(gram, words), within=True, lead=repeats.leading_hash)
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = GRAM) -> DataFrame:

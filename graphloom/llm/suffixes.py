@@ -1,9 +1,15 @@
 """Suffix-array dedup: bytes covered by a 50-byte string that also starts in a smaller document.
 
-Sparse suffixes (``repeats``) are range-partitioned at splitters sampled from their leading
-tokens, each bucket sorts its suffixes by token, context, document and place, and neighbours are
-compared; first occurrences of different contexts meet again window by window, whatever bucket
-they came from. Matches never cross documents and are judged on the input.
+The suffixes are sparse: of every window of 50 bytes the one at its anchor (``repeats``). They are
+range-partitioned by their leading bytes at splitters taken from a sample, so that buckets are
+ranges of the suffix array. A first sort by hashes finds which suffixes occur again; of those whose
+contexts differ, all 50-byte strings around them go to the bucket of their suffix, are sorted byte
+by byte by multikey quicksort, and neighbours are compared. Equal strings have equal anchors with
+equal leading bytes, so no match lies across the boundary of two buckets. Matches never cross
+documents and are judged on the input.
+
+Removals of strings at edges of repeats rest on their bytes. Two hashes stand for equality besides:
+of whole texts (128 bits), and of whole contexts (96 bits, within one range of leading bytes).
 
 Defined results: a null or empty text has no bytes. A row with a null id keeps its whole text
 and covers nothing. Rows that share an id never cover each other. Columns beside id and text are
@@ -26,26 +32,26 @@ from graphloom.session import map_arrow, written
 LENGTH = 50
 GRAM = 20
 
-#: Rows whose suffixes set the splitters, at most.
-SAMPLE_ROWS = 400
+#: Rows whose suffixes set the splitters: for each bucket, and at least.
+SAMPLE_PER_BUCKET, SAMPLE_ROWS = 4, 400
 
 
 def _sampled_keys(batches, spec):
     for batch in arrays.blocks(batches, "text"):
         scan = repeats.Scan(spec, *arrays.text_bytes(batch.column("text")))
-        keys = repeats.anchor_keys(scan.gram[scan.anchors[::16]]) if len(scan.anchors) else np.zeros(0, np.uint64)
+        keys = repeats.leading_bytes(scan, scan.anchors[::16])
         yield pa.record_batch([pa.array([np.ascontiguousarray(keys).tobytes()], pa.binary())], names=["keys"])
 
 
-def splitters(docs: DataFrame, spec, text_col: str, buckets: int, rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """``buckets - 1`` quantiles of the leading tokens of a bounded sample; even ones if it is small."""
-    n = docs.count()
+def splitters(docs: DataFrame, spec, text_col: str, buckets: int) -> np.ndarray:
+    """Up to ``buckets - 1`` quantiles of the leading bytes of a sample's suffixes; even ones if it is small."""
+    n, rows = docs.count(), max(SAMPLE_ROWS, SAMPLE_PER_BUCKET * buckets)
     sample = docs.select(F.col(f"`{text_col}`").alias("text")).sample(min(1.0, 1.2 * rows / max(n, 1)), 11).limit(rows)
     keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.keys, np.uint64) for r in map_arrow(sample, partial(_sampled_keys, spec=spec), "keys binary").collect())])
     if len(keys) < 20 * buckets:
         return repeats.even_splitters(buckets)
     keys.sort()
-    return keys[np.arange(1, buckets) * len(keys) // buckets]
+    return np.unique(keys[np.arange(1, buckets) * len(keys) // buckets])
 
 
 def _cut(batches, spec):
@@ -74,9 +80,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``edges`` holds begin and end of each removed run of bytes, in turn.
     """
-    spec = repeats.Windows(repeats.byte_units, length, min(gram, length), within=False)
+    spec = repeats.Windows(repeats.byte_units, length, min(gram, length), within=False, lead=repeats.leading_bytes)
     copies = written(repeats.later_copies(repeats.keyed(docs, id_col, text_col)))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = repeats.bucket_count(docs, text_col)
     rows = repeats.repeated(docs, spec, id_col, text_col, splitters(docs, spec, text_col, buckets), copies)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, edges array<long>"
     return map_arrow(rows, partial(_cut, spec=spec), schema).withColumnRenamed("doc", id_col)

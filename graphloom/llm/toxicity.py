@@ -1,11 +1,15 @@
 """Toxicity by compression distance: windows under a toxic and under an ordinary zstandard dictionary.
 
 Fitting takes a bounded sample of labelled rows, one half for the dictionaries and one for the
-calibration. The ordinary dictionary is trained on windows of ordinary texts. Strings of a few
-bytes that far more toxic texts than ordinary ones contain mark the passages that the toxic
-dictionary is trained on besides. A window that compresses better by ``d`` bytes with the toxic
-dictionary speaks for toxicity; a text is judged by its largest ``d``, its second largest and its
-number of windows, and a logistic curve fitted to the calibration half turns these into a score.
+calibration. The ordinary dictionary is trained on all windows of ordinary texts. The toxic one is
+trained on passages of toxic texts: a toxic text is ordinary but for a few words, so the passages
+are those around strings of ``GRAM`` bytes that significantly more toxic texts than ordinary ones
+have (signed root of the likelihood ratio above ``SIGNIFICANT``; no share is asked for, so a rarer
+word counts once the sample shows it often enough). The toxic dictionary is laid before the
+ordinary one, so that ordinary words cost the same with both. A window that compresses better by
+``d`` bytes with the toxic dictionary speaks for toxicity; a text is judged by its largest ``d``,
+its second largest and its number of windows, and a logistic curve fitted to the calibration half
+turns these into a score, calibrated so that 0.5 is the threshold.
 
 Defined results: a null or empty text is one empty window. With no toxic or no ordinary row to
 learn from every score is the share of toxic rows (0 without any). Rows of the labels without a
@@ -22,7 +26,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import arrays
@@ -32,11 +36,13 @@ from graphloom.session import map_arrow
 SAMPLE_ROWS = 1500
 WINDOW, STRIDE = 40, 24
 LEVEL = 7
-#: Bytes of a telling string, the log ratio of shares that makes it telling, and the share of toxic texts that have it at least.
-GRAM, RATIO, SHARE = 6, 3.0, 0.05
+#: Bytes of a telling string, the log ratio of shares and the significance that make it telling.
+GRAM, RATIO, SIGNIFICANT = 6, 1.0, 5.0
 #: Two texts of the sample are near copies if so many of their ``SKETCH`` smallest string hashes agree.
 SKETCH, SAME = 24, 12
-ORDINARY_BYTES, TOXIC_BYTES = 8000, 3000
+ORDINARY_BYTES, TOXIC_BYTES = 8000, 1500
+#: Bytes of the segments that make up a trained toxic dictionary, and of the strings it counts.
+SEGMENT, COUNTED = 24, 6
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -63,10 +69,10 @@ def _compressor(content: bytes):
     return zstandard.ZstdCompressor(dict_data=dictionary, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def _trained(size: int, samples: list[bytes]) -> bytes:
+def _trained(size: int, samples: list[bytes], **parameters) -> bytes:
     """A trained dictionary's content; the samples' end if they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()[-size:]
+        return zstandard.train_dictionary(size, samples, **parameters).as_bytes()[-size:]
     except zstandard.ZstdError:
         return b" ".join(samples)[-size:]
 
@@ -84,17 +90,22 @@ def _apart(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def telling_passages(toxic: list[bytes], ordinary: list[bytes]) -> Counter:
-    grams, n_toxic = _shares(toxic)
+def telling_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Every passage of the toxic texts that consists of telling strings, with a byte on either side."""
+    grams, seen = _shares(toxic)
     others, n_ordinary = _shares(ordinary)
     at = np.minimum(np.searchsorted(others, grams), max(0, len(others) - 1))
     base = np.where(others[at] == grams, n_ordinary[at], 0) if len(others) else np.zeros(len(grams))
-    ratio = np.log((n_toxic + 0.5) / len(toxic)) - np.log((base + 0.5) / len(ordinary))
-    telling = grams[(n_toxic >= max(4, SHARE * len(toxic))) & (ratio > RATIO)]
-    found: Counter = Counter()
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    both = seen + base
+    fit = seen * np.log(seen / (both * share)) + np.where(base > 0, base * np.log(np.maximum(base, 1) / (both * (1 - share))), 0)
+    ratio = np.log((seen + 0.5) / len(toxic)) - np.log((base + 0.5) / len(ordinary))
+    telling = grams[(ratio > RATIO) & (2 * fit > SIGNIFICANT**2)]
+    found = []
     for t in toxic:
         edge = np.flatnonzero(np.diff(np.concatenate(([0], np.isin(_grams(t), telling), [0]))))
-        found.update({t.lower()[max(0, a - 1) : b + GRAM] for a, b in zip(edge[::2], edge[1::2])})
+        low = t.lower()
+        found += [low[max(0, a - 1) : b + GRAM] for a, b in zip(edge[::2], edge[1::2])]
     return found
 
 
@@ -131,14 +142,14 @@ def fitted(rows: list[tuple[bytes, int]]) -> tuple[bytes, bytes, np.ndarray]:
     share = len(toxic) / len(rows) if rows else 0.0
     if len(toxic) < 2 or len(ordinary) < 2:
         return b" ", b" ", np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), 0, 0, 0])
-    common = _trained(ORDINARY_BYTES, [w for t in ordinary[::2] for w in windows(t)][:40_000])
+    common = _trained(ORDINARY_BYTES, [w for t in ordinary[::2] for w in windows(t)])
     passages = telling_passages(toxic[::2], ordinary[::2])
-    toxic_content = b" ".join([s for s, _ in passages.most_common()][::-1])[-TOXIC_BYTES:]
-    scorer = Scorer(common, toxic_content + b" " + common, np.zeros(4))
+    content = _trained(TOXIC_BYTES, passages, k=SEGMENT, d=COUNTED, f=20, accel=1) + b" " + common
+    scorer = Scorer(common, content, np.zeros(4))
     kept = [*toxic[1::2], *ordinary[1::2]]
     x = np.array([scorer.measures(t) for t in kept])
     y = np.concatenate((np.ones(len(toxic[1::2])), np.zeros(len(ordinary[1::2]))))
-    return common, toxic_content + b" " + common, _logistic(x, y)
+    return common, content, _logistic(x, y)
 
 
 _scorers: dict = {}

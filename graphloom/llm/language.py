@@ -30,8 +30,6 @@ from graphloom.session import map_arrow
 
 ORDER = 3
 SAMPLE_ROWS = 1500
-#: Context trees keep contexts of full order that were seen this often in a language.
-LEAST_SEEN = 3
 #: What stands before a text's first byte.
 BEFORE = 10
 #: Bits of difference that make a language half as likely (neighbouring bytes are not independent).
@@ -81,11 +79,8 @@ class Model:
         a = self.size = len(used) + 1
         g = np.stack([self.code[gram >> 8 * (ORDER - k) & 255] for k in range(ORDER + 1)]) if len(gram) else np.zeros((4, 0), np.int64)
         full = (g[0] * a + g[1]) * a + g[2]
-        keys, inverse = np.unique(full, return_inverse=True)
-        often = np.zeros((len(keys), max(len(names), 1)))
-        np.add.at(often, (inverse, lang), n)
-        keys = keys[often.max(1) >= LEAST_SEEN]
-        #: Row of the table for each context of full order: its own, or that of the last two bytes.
+        keys = np.unique(full)
+        #: Row of the table for each context of full order: its own, or that of the last two bytes if no language has it.
         self.row = np.tile(np.arange(a * a, dtype=np.int32), a)
         self.row[keys] = a * a + np.arange(len(keys))
         self.table = np.empty(((a * a + len(keys)) * a, len(names)), np.float32)
@@ -101,11 +96,8 @@ class Model:
             two[which] = _costs(x[1] * a + x[2], x[3], c, two[which])[1]
             three = two[keys % (a * a)]
             f = (x[0] * a + x[1]) * a + x[2]
-            kept = np.isin(f, keys)
-            which = np.unique(f[kept])
-            at = np.searchsorted(keys, which)
-            if len(which):
-                three[at] = _costs(f[kept], x[3][kept], c[kept], three[at])[1]
+            at = np.searchsorted(keys, np.unique(f))
+            three[at] = _costs(f, x[3], c, three[at])[1]
             self.table[:, k] = np.concatenate((two, three)).reshape(-1)
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

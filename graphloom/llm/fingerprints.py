@@ -2,9 +2,11 @@
 
 A 16-bit gear hash of the last 16 bytes marks boundaries. Chunking is normalised: before
 ``NORMAL`` bytes a boundary needs six zero bits, after it four, and ``MOST`` bytes end a chunk in
-any case. A fingerprint is the set of the chunks' digests with their lengths; two fingerprints are
-alike as far as the bytes of chunks in both go into the larger one. An insertion only changes the
-chunks around it, as the boundaries after it are found again.
+any case. A fingerprint is the set of the chunks' digests with their lengths. The likeness of a text
+to another one is how far the other contains it: the bytes of its distinct chunks that the other has
+too, of the bytes of all of them. A text wholly inside another is so found again, but for the chunks
+at its two ends; an insertion only changes the chunks around it, as the boundaries after it are
+found again.
 
 Documents are compared with the next one by id. They are range-partitioned by ids of the table
 that split it evenly, and the row at each border also goes to the partition before it, so that
@@ -86,10 +88,10 @@ def fingerprint(chunks: dict[bytes, int]) -> str:
 
 
 def likeness(a: dict[bytes, int], b: dict[bytes, int]) -> float:
+    """How far ``b`` contains ``a``, by length (0 to 1)."""
     if not a or not b:
         return float(not a and not b)
-    few, many = (a, b) if len(a) < len(b) else (b, a)
-    return sum(n for d, n in few.items() if d in many) / max(sum(a.values()), sum(b.values()))
+    return sum(n for d, n in a.items() if d in b) / sum(a.values())
 
 
 def _bucketed(batches, borders: np.ndarray, first: int):

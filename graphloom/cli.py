@@ -19,12 +19,13 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("-u", "--undirected", action="store_true")
     p.add_argument("-r", "--restart-probability", type=float, default=0.1)
     p.add_argument("-e", "--epsilon", type=float, default=1e-5)
-    p.add_argument("--order", choices=("frontier", "fifo"), default="frontier")
+    p.add_argument("--order", choices=("auto", "frontier", "fifo"), default="auto", help="auto: queue order while the graph can be broadcast, else rounds over a frontier")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     edges, nodes = readers.edge_list(spark, a.input, a.separator, a.undirected)
     edges = graph.symmetrized(edges)
-    if a.order == "fifo":
+    fits = a.order == "auto" and edges.count() <= kernels.BROADCAST_EDGES
+    if a.order == "fifo" or fits:
         local = kernels.local_communities_fifo(edges, a.restart_probability, a.epsilon)
     else:
         local = walk.local_communities(edges, walk.similarities(edges, a.restart_probability, a.epsilon))

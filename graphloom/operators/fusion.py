@@ -12,8 +12,8 @@ from graphloom.session import written
 def stationary_distribution(edges: DataFrame, rho: float, iterations: int = 50, tolerance: float | None = None, every: int = 10) -> DataFrame:
     """(``node``, ``pi``): PageRank with teleport probability ``rho``; dangling mass is spread evenly.
 
-    Stops after ``iterations`` or, with a ``tolerance``, once the L1 change is below nodes * tolerance.
-    The plan is cut in the shared folder each ``every`` rounds.
+    Stops after ``iterations`` or, with a ``tolerance``, once the L1 change of a round is below nodes * tolerance.
+    The plan is cut in the shared folder, and the change looked at, each ``every`` rounds.
     """
     all_nodes = written(graph.nodes(edges))
     n = all_nodes.count()
@@ -29,8 +29,9 @@ def stationary_distribution(edges: DataFrame, rho: float, iterations: int = 50,
             lost = F.lit(pi.join(flags.filter("not out"), "node").agg(F.sum("pi")).first()[0] / n)
         before = pi
         pi = all_nodes.join(moved, "node", "left").select("node", ((1 - rho) * (F.coalesce("m", F.lit(0.0)) + lost) + rho / n).alias("pi"))
-        if tolerance is not None or (turn + 1) % every == 0:
-            pi = written(pi)
+        if (turn + 1) % every:
+            continue
+        pi = written(pi)
         if tolerance is not None and pi.join(before.withColumnRenamed("pi", "q"), "node").agg(F.sum(F.abs(F.col("pi") - F.col("q")))).first()[0] < n * tolerance:
             return pi
     if tolerance is not None:
@@ -82,3 +83,109 @@ def fuse_addition(views: DataFrame, weights: dict) -> DataFrame:
     for view, w in weights.items():
         a = F.when(F.col("view") == view, F.lit(w / total)).otherwise(a)
     return graph.symmetrized(views.select("src", "dst", (a * F.col("w")).alias("w")))
+
+
+def entropy(values: DataFrame, column: str, norm: bool = False) -> DataFrame:
+    """One row (``entropy``) of a column's shares, natural logarithm; ``norm``: the smallest share is taken off first."""
+    total = values.agg(F.sum(column).alias("total"))
+    shares = values.crossJoin(F.broadcast(total)).select((F.col(column) / F.col("total")).alias("share"))
+    if norm:
+        ends = shares.agg(F.min("share").alias("least"), (F.sum("share") - F.min("share") * F.count("*")).alias("left"))
+        shares = shares.crossJoin(F.broadcast(ends)).select(((F.col("share") - F.col("least")) / F.col("left")).alias("share"))
+    return shares.filter("share > 0").agg(F.coalesce(F.sum(-F.col("share") * F.log("share")), F.lit(0.0)).alias("entropy"))
+
+
+def safe_convex_weights(views: DataFrame, weights: dict | None = None) -> DataFrame:
+    """(``node``, ``view``, ``a``): at each node the weights of the views in which it has an out-degree, summing to 1."""
+    present = views.groupBy("view", F.col("src").alias("node")).agg(F.sum("w").alias("d")).filter("d > 0").select("node", "view")
+    return _shared_out(present.withColumn("x", _weight_of(weights)))
+
+
+def entropy_view_weights(views: DataFrame) -> DataFrame:
+    """(``node``, ``view``, ``a``): at each node the entropies of its rows of the views' transitions, summing to 1.
+
+    Where all of a node's rows have entropy 0 (one neighbour in each view), its views count alike.
+    """
+    rows = view_transitions(views).filter("p > 0").groupBy("view", F.col("src").alias("node")).agg(F.sum(-F.col("p") * F.log("p")).alias("x"))
+    some = rows.groupBy("node").agg(F.max("x").alias("most"))
+    return _shared_out(rows.join(some, "node").select("node", "view", F.when(F.col("most") > 1e-12, F.col("x")).otherwise(1.0).alias("x")))
+
+
+def _weight_of(weights: dict | None):
+    if weights is None:
+        return F.lit(1.0)
+    a = F.lit(0.0)
+    for view, w in weights.items():
+        a = F.when(F.col("view") == view, F.lit(float(w))).otherwise(a)
+    return a
+
+
+def _shared_out(rows: DataFrame) -> DataFrame:
+    sums = rows.groupBy("node").agg(F.sum("x").alias("all"))
+    return rows.join(sums, "node").filter(F.col("all") > 0).select("node", "view", (F.col("x") / F.col("all")).alias("a"))
+
+
+def graph_fusion(views: DataFrame, weights: dict | None = None, method: str = "zhou") -> DataFrame:
+    """(``src``, ``dst``, ``p``): the views' transitions, each row by its node's own weights of the views."""
+    if method not in ("zhou", "entropy"):
+        raise ValueError(f"unknown method: {method}")
+    a = safe_convex_weights(views, weights) if method == "zhou" else entropy_view_weights(views)
+    joined = view_transitions(views).join(a.withColumnRenamed("node", "src"), ["src", "view"])
+    return joined.groupBy("src", "dst").agg(F.sum(F.col("a") * F.col("p")).alias("p")).filter("p <> 0")
+
+
+def graph_fusion_directed(views: DataFrame, weights: dict | None = None, fusion: str = "zhou", laplacian: str = "combinatorial", rho: float = 0.15, tolerance: float = 1e-7) -> tuple[DataFrame, DataFrame]:
+    """(adjacency, Laplacian) of several directed views, both (``src``, ``dst``, ``w``).
+
+    ``zhou`` and ``entropy`` mix the views' walks by their stationary distributions and the nodes' weights of the
+    views, and build the implicit matrix that ``laplacian`` names; ``addition`` adds the weighted views.
+    """
+    if fusion not in ("zhou", "entropy", "addition") or laplacian not in ("combinatorial", "directed"):
+        raise ValueError(f"unknown fusion or Laplacian: {fusion}, {laplacian}")
+    a = entropy_view_weights(views) if fusion == "entropy" else safe_convex_weights(views, weights)
+    if fusion == "addition":
+        own = views.join(a.withColumnRenamed("node", "src"), ["src", "view"])
+        adjacency = graph.symmetrized(own.select("src", "dst", (F.col("a") * F.col("w")).alias("w")))
+        degree = adjacency.groupBy(F.col("dst").alias("node")).agg(F.sum("w").alias("d"))
+    else:
+        every = graph.nodes(views)
+        pis = None
+        for row in views.select("view").distinct().orderBy("view").collect():  # views are a few names
+            one = views.filter(F.col("view") == row.view)
+            pi = stationary_distribution(one.select("src", "dst", "w"), rho, 200, tolerance)
+            pi = every.join(pi, "node", "left").select(F.lit(row.view).alias("view"), "node", F.coalesce("pi", F.lit(0.0)).alias("pi"))
+            pis = pi if pis is None else pis.unionByName(pi)
+        flow = written(pis.join(a, ["node", "view"], "left").select("view", "node", (F.col("pi") * F.coalesce("a", F.lit(0.0))).alias("flow")))
+        fused = flow.groupBy("node").agg(F.sum("flow").alias("pi"))
+        least = fused.agg((F.min(F.when(F.col("pi") > 0, F.col("pi"))) / 2).alias("half"))
+        pi = written(fused.crossJoin(F.broadcast(least)).select("node", F.when(F.col("pi") > 0, F.col("pi")).otherwise(F.col("half")).alias("pi")))
+        share = flow.join(pi, "node").select("view", F.col("node").alias("src"), (F.col("flow") / F.col("pi")).alias("share"))
+        walk = view_transitions(views).join(share, ["view", "src"]).groupBy("src", "dst").agg(F.sum(F.col("share") * F.col("p")).alias("p"))
+        adjacency = implicit_combinatorial(pi, walk) if laplacian == "combinatorial" else implicit_directed(pi, walk)
+        degree = pi.select("node", (F.col("pi") if laplacian == "combinatorial" else F.lit(1.0)).alias("d"))
+    adjacency = adjacency.filter("w <> 0")
+    return adjacency, _minus(degree, adjacency)
+
+
+def _minus(degree: DataFrame, adjacency: DataFrame) -> DataFrame:
+    diagonal = degree.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.col("d").alias("w"))
+    return graph.summed(diagonal.unionByName(adjacency.select("src", "dst", (-F.col("w")).alias("w")))).filter("w <> 0")
+
+
+def implicit_adjacencies(edges: DataFrame, rho: float = 0.2, iterations: int = 200, tolerance: float | None = 1e-7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(combinatorial adjacency, directed adjacency, stationary distribution) of a directed graph."""
+    pi = written(stationary_distribution(edges, rho, iterations, tolerance))
+    walk = graph.transitions(edges)
+    return implicit_combinatorial(pi, walk), implicit_directed(pi, walk), pi
+
+
+def combinatorial_laplacian(edges: DataFrame, rho: float = 0.2, iterations: int = 200, tolerance: float | None = 1e-7) -> DataFrame:
+    """Diagonal of the stationary distribution less the implicit combinatorial adjacency."""
+    combinatorial, _, pi = implicit_adjacencies(edges, rho, iterations, tolerance)
+    return _minus(pi.select("node", F.col("pi").alias("d")), combinatorial)
+
+
+def directed_laplacian(edges: DataFrame, rho: float = 0.2, iterations: int = 200, tolerance: float | None = 1e-7) -> DataFrame:
+    """Identity less the implicit directed adjacency."""
+    _, directed, pi = implicit_adjacencies(edges, rho, iterations, tolerance)
+    return _minus(pi.select("node", F.lit(1.0).alias("d")), directed)

@@ -12,7 +12,7 @@ from graphloom.operators import graph
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(``line``, ``pos``): stripped lines; positions rise within a file and from one file of a folder to the next."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("line"))
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
 
 
 def fields(spark: SparkSession, path: str, separator: str, least: int, comments: bool = True) -> DataFrame:
@@ -145,7 +145,50 @@ DENSE = ("lapeig", "deepwalk", "rwmodmax", "repeig", "line")
 
 
 def features(spark: SparkSession, method: str, path: str) -> DataFrame:
-    """Stored features of a method: sparse rows or vectors."""
-    if method.lower() not in SPARSE + DENSE:
+    """Stored features of a method: sparse rows (``node``, ``community``, ``value``) or vectors (``node``, ``vec``)."""
+    kind = {m: sparse_features for m in SPARSE} | {m: vector_features for m in DENSE}
+    if method.lower() not in kind:
         raise RuntimeError(f"unknown method: {method}")
-    return spark.read.parquet(path)
+    return kind[method.lower()](spark, path)
+
+
+def sparse_features(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("node", "community", F.col("value").cast("double").alias("value"))
+
+
+def vector_features(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("node", F.col("vec").cast("array<double>").alias("vec"))
+
+
+def predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(``node``, ``label``, ``score``) as ``writers.table_once`` keeps them."""
+    return spark.read.parquet(path).select("node", "label", "score")
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """(``pct``, ``measure``, ``mean``, ``std``) of a report that ``writers.results_text`` made."""
+    text = [r.line for r in lines(spark, path).filter("line <> ''").orderBy("pos").collect()]  # a report is a few lines
+    percentages, out = text[1].split("\t"), []
+    for i, line in enumerate(text):
+        if line.startswith("--"):
+            out += [(float(p), line.strip("-"), float(m), float(d)) for p, m, d in zip(percentages, text[i + 1].split("\t"), text[i + 2].split("\t"), strict=True)]
+    return spark.createDataFrame(out, "pct double, measure string, mean double, std double")
+
+
+#: The files of each dataset's folder, and the field separator.
+DATASETS = {
+    "snow2014": ("men_ret_graph.tsv", "user_label_matrix.tsv", "\t"),
+    "politicsuk": ("men_ret_graph.tsv", "user_label_matrix.tsv", "\t"),
+    "flickr": ("edges.csv", "group-edges.csv", ","),
+    "youtube": ("edges.csv", "group-edges.csv", ","),
+}
+
+
+def dataset(spark: SparkSession, name: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(``edges``, ``labels``) of a dataset's folder."""
+    if name not in DATASETS:
+        raise ValueError(f"unknown dataset: {name}")
+    graph_file, label_file, separator = DATASETS[name]
+    if separator == ",":
+        return unweighted_edges(spark, f"{folder}/{graph_file}", separator), label_matrix(spark, f"{folder}/{label_file}", separator)
+    return headered_edges(spark, f"{folder}/{graph_file}", separator)[0], headered_labels(spark, f"{folder}/{label_file}", separator)[0]

@@ -38,3 +38,19 @@ def names_to_topics(labels: DataFrame, nodes: DataFrame, names: DataFrame, lemma
 def table_once(rows: DataFrame, path: str) -> None:
     """Scores, folds and predictions: written unless they are there."""
     rows.write.mode("ignore").parquet(path)
+
+
+def results_text(stats: DataFrame, path: str) -> None:
+    """``stats(pct, <measure>_mean, <measure>_std, ...)`` as a report: the percentages, then two lines for each measure."""
+    names = [c[: -len("_mean")] for c in stats.columns if c.endswith("_mean")]
+    rows = stats.orderBy("pct").collect()  # a row for each percentage
+    text = ["*** Percentages:", "\t".join(f"{r.pct:g}" for r in rows)]
+    for name in names:
+        text += ["", "", f"--{name}--", *("\t".join(str(r[f"{name}_{part}"]) for r in rows) for part in ("mean", "std"))]
+    stats.sparkSession.createDataFrame([(line,) for line in text], "value string").coalesce(1).write.text(path)
+
+
+def names_to_topics_text(labels: DataFrame, nodes: DataFrame, names: DataFrame, lemmas: DataFrame, path: str, separator: str = "\t") -> None:
+    """A line for each name: it and its lemmas in order."""
+    found = names_to_topics(labels, nodes, names, lemmas)
+    found.select(F.concat_ws(separator, "name", "lemmas").alias("value")).write.text(path)

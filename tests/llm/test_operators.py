@@ -148,7 +148,8 @@ def test_toxicity(spark, docs, empty):
     assert sum(held) >= 90
     assert all(0 <= r.score <= 1 for r in found.values())
     none = table.limit(0)
-    assert {r.score for r in toxicity.toxicity(docs, none).collect()} == {0.0} or toxicity.toxicity(docs, none).count() == len(TEXTS)
+    untaught = toxicity.toxicity(docs, none).collect()
+    assert len(untaught) == len(TEXTS) and all(r.score < 1e-6 for r in untaught)
     assert toxicity.toxicity(empty, table).count() == 0
 
 
@@ -157,9 +158,8 @@ def test_language(spark, docs, empty):
     parts = {"aa": ["th", "er", "ing"], "bb": ["eau", "ment", "que"]}
     rows = [(i, " ".join("".join(rng.choice(parts[g]) for _ in range(2)) for _ in range(20)), g) for i in range(60) for g in parts]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    found = language.languages(table, F.col("doc_id") < 40).join(table, "doc_id").count()
     right = language.languages(table.withColumn("doc_id", F.xxhash64("text")), F.lit(True)).join(table.select(F.xxhash64("text").alias("doc_id"), "lang"), "doc_id")
-    assert found and right.filter("lang_pred <> lang").count() == 0
+    assert right.count() == 120 and right.filter("lang_pred <> lang").count() == 0
     got = by_id(language.languages(docs, F.lit(True)))
     assert {i for i, r in got.items() if r.lang_pred == "und"} == {i for i, t in enumerate(TEXTS) if not re.search(r"[^\W\d_]", t or "")}
     assert {r.lang_pred for r in language.languages(docs, F.lit(False)).collect()} == {"und"}
@@ -199,7 +199,7 @@ def test_substring_dedup(docs, empty):
         assert (found[i].n_words, found[i].n_removed, found[i].kept_sha256) == (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
     changed = by_id(substrings.without_repeats(docs))
     assert set(changed) == {i for i, t in enumerate(TEXTS) if not (t or "").split() or found[i].n_removed < found[i].n_words}
-    assert all((changed[i].text or "").encode().split() is not None for i in changed)
+    assert all(len((changed[i].text or "").encode().split()) == found[i].n_words - found[i].n_removed for i in changed)
     assert substrings.repeated_words(empty).count() == 0
 
 

@@ -52,7 +52,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL cannot express tokenizing and packing; the tests hold the stages against brute force.
+#: SQL cannot express tokenizing and packing; ``tests/llm/test_pipeline.py`` holds every stage against brute force.
 ORACLE_SQL = None
 
 

@@ -3,12 +3,13 @@
 A byte-pair model has no score for a whole segmentation, so the trellis decides by feasibility:
 a piece may follow another if merging the two pieces' characters by the model gives just these
 two. A segmentation whose neighbours all may follow each other is the model's own one, and each
-prefix has exactly one, so every place of the trellis keeps one back pointer. Only places within
-the longest piece of the end can still be pointed at; when the paths of all of them meet in one
-boundary, the ids before it are committed and forgotten.
+prefix has exactly one, so every place of the trellis keeps one back pointer. Only the places
+within the longest piece of the end can still be pointed at; they are the window. When the paths
+of all of them meet in one boundary, the ids before it are committed and forgotten.
 
 No piece holds a space after another character, so paths always meet where a word begins; words
-met before are answered from a bounded memory.
+met before are answered from a bounded memory. The new words of a block are taken in order, so
+that a word goes on from the places of the beginning that it shares with the one before.
 
 Defined results: a null or empty text has no ids. A character that is no piece becomes its UTF-8
 bytes. Decoding gives the text back but for the character U+2581, which stands for a space.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import deque
 from functools import partial
 
 import numpy as np
@@ -32,9 +34,9 @@ from graphloom.session import map_arrow
 
 SPACE = "▁"
 #: Words and pairs of pieces that a task remembers, at most; then it forgets all and starts anew.
-REMEMBERED = 800_000
-#: Characters between attempts to commit.
-EVERY = 64
+REMEMBERED = 500_000
+#: Longer words are streamed.
+LONG_WORD = 64
 
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]*")
 
@@ -55,9 +57,17 @@ class Pieces:
         byte = {i: int(p[3:5], 16) for i, p in enumerate(self.texts) if model.is_byte(i)}
         self.ids = {p: i for i, p in enumerate(self.texts) if i not in byte and not special(i)}
         self.scores = {p: model.get_score(i) for p, i in self.ids.items()}
+        self.own = {p: p for p in self.ids}  # one object for each piece
         self.byte_ids = {b: i for i, b in byte.items()}
         self.bytes = [bytes([byte[i]]) if i in byte else b"" if special(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.texts)]
         self.longest = max(map(len, self.ids))
+        #: Sizes of the pieces that end with two characters, the longest first.
+        self.sizes: dict[str, list[int]] = {}
+        for p in self.ids:
+            if len(p) > 1:
+                self.sizes.setdefault(p[-2:], []).append(len(p))
+        self.sizes = {tail: sorted({*sizes}, reverse=True) for tail, sizes in self.sizes.items()}
+        self.packed = {p: array("H", [i]).tobytes() for p, i in self.ids.items()}
         self.follows: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
 
@@ -72,64 +82,91 @@ class Pieces:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def may_follow(self, a: str, b: str) -> bool:
+        """Whether ``b`` may stand after ``a``, or at the beginning if ``a`` is empty."""
         known = self.follows.get((a, b))
         if known is None:
             if len(self.follows) > REMEMBERED:
                 self.follows.clear()
-            known = self.follows[a, b] = self.merged(a + b) == [a, b]
+            known = self.follows[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
+    def last_piece(self, text: str, end: int, before, least: int) -> str:
+        """The one piece that can end the text's first ``end`` characters.
+
+        ``before(begin)`` is the piece that ends at ``begin``; places before ``least`` are out of reach.
+        """
+        own, known = self.own, self.follows
+        for size in self.sizes.get(text[end - 2 : end], ()):
+            begin = end - size
+            if begin >= least and (piece := own.get(text[begin:end])):
+                ok = known.get((a := before(begin), piece))
+                if ok or ok is None and self.may_follow(a, piece):
+                    return piece
+        return text[end - 1]  # a prefix has one segmentation, so nothing else is left
+
     def segments(self, text: str):
         """Pieces (or single characters that are none) of ``text``, as soon as they are certain."""
-        last = [""]  # of each place since the committed one, the piece that ends there ("" at the beginning)
-        start, scores, longest = 0, self.scores, self.longest
+        # The window: [end, piece that ends there, place before it] of the last places.
+        committed = [0, "", None]
+        window = deque([committed], maxlen=self.longest + 1)
         for end in range(1, len(text) + 1):
-            for begin in range(max(start, end - longest), end):
-                piece = text[begin:end]
-                if piece in scores or end - begin == 1:
-                    before = last[begin - start]
-                    if self.may_follow(before, piece) if before else self.merged(piece) == [piece]:
-                        last.append(piece)
-                        break
-            if end % EVERY == 0:
-                live = {*range(max(start, end - longest + 1), end + 1)}
-                while len(live) > 1:  # the latest place steps back until all paths meet
-                    top = max(live)
-                    live.remove(top)
-                    live.add(top - len(last[top - start]))
-                (meet,) = live
-                yield from self._path(last, start, meet)
-                last, start = last[meet - start :], meet
-        yield from self._path(last, start, len(text))
+            first = window[0][0]
+            piece = self.last_piece(text, end, lambda begin: window[begin - first][1], max(first, committed[0]))
+            window.append([end, piece, window[end - len(piece) - first]])
+            if not end % self.longest:  # all paths that end in the window step back until they meet
+                live = {place[0]: place for place in window if place[0] > end - self.longest and place[0] >= committed[0]}
+                while len(live) > 1:
+                    place = live.pop(max(live))[2]
+                    live[place[0]] = place
+                (meet,) = live.values()
+                yield from self._path(meet, committed)
+                committed, meet[2] = meet, None  # what lies before is forgotten
+        yield from self._path(window[-1], committed)
 
     @staticmethod
-    def _path(last: list[str], start: int, end: int) -> list[str]:
+    def _path(place, until) -> list[str]:
         out = []
-        while end > start:
-            out.append(last[end - start])
-            end -= len(out[-1])
+        while place[0] > until[0]:
+            out.append(place[1])
+            place = place[2]
         return out[::-1]
 
-    def word(self, text: str) -> bytes:
-        """Ids of a text as unsigned 16-bit values."""
-        out = array("H")
-        for piece in self.segments(text):
-            known = self.ids.get(piece)
-            out.extend([known] if known is not None else [self.byte_ids[b] for b in piece.encode()])
-        return out.tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        units = _UNIT.findall(SPACE + text.replace(" ", SPACE))
-        known = self.words
-        missing = {u for u in units if u not in known}
+    def ids_of(self, piece: str) -> bytes:
+        """Unsigned 16-bit ids of a piece, or of the bytes of a character that is none."""
+        known = self.packed.get(piece)
+        return known if known is not None else array("H", [self.byte_ids[b] for b in piece.encode()]).tobytes()
+
+    def learn(self, words) -> None:
+        """Remember the ids of new words."""
+        before, last, done = "", [""], [b""]
+        for word in sorted(words):
+            if len(word) > LONG_WORD:
+                self.words[word] = b"".join(map(self.ids_of, self.segments(word)))
+                continue
+            same = 0
+            while same < len(before) and same < len(word) and before[same] == word[same]:
+                same += 1
+            del last[same + 1 :], done[same + 1 :]
+            for end in range(same + 1, len(word) + 1):
+                piece = self.last_piece(word, end, last.__getitem__, 0)
+                last.append(piece)
+                done.append(done[end - len(piece)] + self.ids_of(piece))
+            before = word
+            self.words[word] = done[-1]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        units = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        known, every = self.words, set().union(*units)
+        missing = every - known.keys()
         if len(known) + len(missing) > REMEMBERED:
             known.clear()
-            missing = {*units}
-        for u in missing:
-            known[u] = self.word(u)
-        return b"".join(map(known.__getitem__, units))
+            missing = every
+        self.learn(missing)
+        out = [b"".join(map(known.__getitem__, u)) for u in units]
+        for word in missing:
+            if len(word) > LONG_WORD:
+                del known[word]
+        return out
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode(errors="replace")[1:]
@@ -147,7 +184,7 @@ def _pieces(path: str | None) -> Pieces:
 def _encoded(batches, path):
     pieces = _pieces(path)
     for batch in arrays.blocks(batches, "text"):
-        ids = [pieces.encode(t or "") for t in batch.column("text").to_pylist()]
+        ids = pieces.encode(batch.column("text").fill_null("").to_pylist())
         yield pa.record_batch([batch.column("doc"), batch.column("text"), pa.array(ids, pa.binary())], names=["doc", "text", "ids"])
 
 

@@ -21,7 +21,8 @@ empty table gives an empty table.
 from __future__ import annotations
 
 import os
-from array import array
+import re
+import unicodedata
 from functools import partial
 
 import numpy as np
@@ -43,52 +44,172 @@ NEIGHBOURS = 48
 COMMON = 0.05
 
 #: Words whose ids a task remembers, at most; then it forgets all and starts anew.
-REMEMBERED = 1_000_000
-_ids: dict[str, bytes] = {}
+REMEMBERED = 1_500_000
+#: Words that are tokenized at once, and marks that a word may end with.
+AT_ONCE, MARKS = 2000, b".,;:!?"
+#: Letters and ASCII signs but the apostrophe, with which the tokenizer's own units may begin.
+_SIGNED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 _tokenizers: dict = {}
+_memories: dict = {}
 
 
 def _tokenizer(path: str | None):
+    """The tokenizer, its model alone for ASCII letters and for others, and which ids end a word."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
 
-            _tokenizers[path] = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+            whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
         else:
-            _tokenizers[path] = Tokenizer.from_file(path)
-        _ids.clear()
+            whole = Tokenizer.from_file(path)
+        model, byte_model = Tokenizer(whole.model), Tokenizer(whole.model)
+        model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        byte_model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = whole.model.end_of_word_suffix
+        last = np.zeros(VOCABULARY, bool)
+        last[[i for piece, i in whole.get_vocab().items() if piece.endswith(suffix)]] = True
+        _tokenizers[path] = whole, model, byte_model, last
     return _tokenizers[path]
 
 
-def encoded(texts: list[str], path: str | None) -> list[bytes]:
-    """Each text's ids and the end id, as unsigned 16-bit values.
+class Memory:
+    """Ids of words met before, in arrays sorted by the words' hashes.
 
-    The tokenizer never looks across white space, so a text's ids are those of its words.
+    A word is known by a 64-bit hash, its size and its first eight bytes; texts in which these disagree are
+    tokenized as a whole.
     """
-    tokenizer = _tokenizer(path)
-    words = []
-    for t in texts:
-        if t.isascii():
-            t = t.lower()
-        # str.split() parts at four control characters that the tokenizer keeps.
-        words.append([t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split())
-    missing = list(set().union(*words) - _ids.keys())
-    if len(_ids) + len(missing) > REMEMBERED:
-        _ids.clear()
-        missing = list(set().union(*words))
-    for word, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-        _ids[word] = array("H", e.ids).tobytes()
-    end = array("H", [END]).tobytes()
-    return [b"".join(map(_ids.__getitem__, w)) + end for w in words]
+
+    def __init__(self, path: str | None):
+        self.whole, self.model, self.byte_model, self.last = _tokenizer(path)
+        mark = {m: self.whole.encode(chr(m), add_special_tokens=False).ids for m in MARKS}
+        self.mark_id = np.zeros(256, np.uint16)
+        for m, ids in mark.items():
+            if len(ids) == 1:
+                self.mark_id[m] = ids[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.marks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.signs: dict[str, np.ndarray] = {}
+
+    def learn(self, keys: np.ndarray, marks: np.ndarray, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        """Remember lower-case words of ``data``.
+
+        Most are letters, perhaps with a mark after them, and the tokenizer would part them there: the letters go
+        through its model alone, many at once, and the last id of each is one that ends a word.
+        """
+        size = ends - begins
+        letters = np.concatenate(([0], np.cumsum((data >= 97) & (data <= 122))))
+        letters = letters[ends] - letters[begins]
+        tail = self.mark_id[data[ends - 1]]
+        marked = (letters == size - 1) & (size > 1) & (tail > 0)
+        plain = np.flatnonzero((letters == size) | marked)
+        other = np.flatnonzero(~((letters == size) | marked))
+        # ASCII letters, each followed by a space, as lines.
+        n = (size - marked)[plain] + 1
+        at = np.repeat(begins[plain] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        text = data[np.minimum(at, len(data) - 1)]
+        text[np.cumsum(n) - 1] = 32
+        text, cuts = text.tobytes().decode(), np.concatenate(([0], np.cumsum(n)))
+        cuts = [*cuts[:-1:AT_ONCE].tolist(), int(cuts[-1])] if len(plain) else [0]
+        ids, sizes = self._lines(self.model, [text[a:b] for a, b in zip(cuts, cuts[1:])], len(plain))
+        with_mark = marked[plain]
+        ids = np.insert(ids, np.cumsum(sizes)[with_mark], tail[plain][with_mark])
+        sizes = sizes + with_mark
+        words = [data[a:b].tobytes().decode() for a, b in zip(begins[other].tolist(), ends[other].tolist())]
+        # Letters of any script, perhaps with signs after them, which are a unit of their own.
+        parted = [(w, "") if w.isalpha() else m.groups() if (m := _SIGNED.fullmatch(w)) and m[1].isalpha() else None for w in words]
+        alpha = np.array([x is not None for x in parted], bool)
+        known = [x[0] for x in parted if x]
+        more, more_sizes = self._lines(self.byte_model, [" ".join(known[a : a + AT_ONCE]) for a in range(0, len(known), AT_ONCE)], len(known))
+        signs = [self._signs(x[1]) for x in parted if x]
+        extra = np.array([len(x) for x in signs], np.int64)
+        more = np.insert(more, np.repeat(np.cumsum(more_sizes), extra), np.concatenate([np.zeros(0, np.uint16), *signs]))
+        more_sizes = more_sizes + extra
+        rest = [e.ids for e in self.whole.encode_batch_fast([w for w, x in zip(words, parted) if x is None], add_special_tokens=False)]
+        all_sizes = np.concatenate((sizes, more_sizes, np.array([len(x) for x in rest], np.int64)))
+        starts = len(self.pool) + np.cumsum(all_sizes) - all_sizes
+        self.pool = np.concatenate((self.pool, ids, more, np.array([i for x in rest for i in x], np.uint16)))
+        order = np.concatenate((plain, other[alpha], other[~alpha])) if len(other) else plain
+        keys, marks = keys[order], marks[order]
+        order = np.argsort(keys)
+        place = np.searchsorted(self.keys, keys[order])
+        self.keys, self.marks, self.starts, self.sizes = (np.insert(x, place, y[order]) for x, y in ((self.keys, keys), (self.marks, marks), (self.starts, starts), (self.sizes, all_sizes)))
+
+    def _signs(self, signs: str) -> np.ndarray:
+        if signs not in self.signs:
+            self.signs[signs] = np.array(self.whole.encode(signs, add_special_tokens=False).ids if signs else [], np.uint16)
+        return self.signs[signs]
+
+    def _lines(self, tokenizer, lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``n`` words on lines, and how many each has."""
+        found = [np.array(e.ids, np.uint16) for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.uint16), *found])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        assert len(ends) == n
+        return ids, np.diff(np.concatenate(([0], ends)))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, an end id after each, and where each text's begin (with the total)."""
+        simple = [_simple(t) for t in texts]
+        low = [t.lower().encode() if ok else b"" for t, ok in zip(texts, simple)]
+        data = np.frombuffer(b"".join(low), np.uint8)
+        begins, ends, firsts = arrays.word_bounds(data, np.concatenate(([0], np.cumsum([len(x) for x in low]))))
+        keys = arrays.word_hashes(data, begins, ends)
+        marks = (ends - begins).astype(np.uint64)
+        for k in range(8):
+            marks = marks * np.uint64(257) + np.where(begins + k < ends, data[np.minimum(begins + k, max(len(data) - 1, 0))] if len(data) else 0, 0).astype(np.uint64)
+        own, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        missing = ~np.isin(own, self.keys, assume_unique=True)
+        if len(self.keys) + missing.sum() > REMEMBERED:
+            self.forget()
+            missing[:] = True
+        if missing.any():
+            new = first[missing]
+            self.learn(own[missing], marks[new], data, begins[new], ends[new])
+        at = np.searchsorted(self.keys, own)[which]
+        clash = np.flatnonzero(self.marks[at] != marks) if len(at) else at
+        sizes = np.insert(self.sizes[at] if len(at) else np.zeros(0, np.int64), firsts[1:], 1)
+        end = len(self.pool)
+        starts = np.insert(self.starts[at] if len(at) else np.zeros(0, np.int64), firsts[1:], end)
+        ids = np.append(self.pool, np.uint16(END))[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], firsts[1:] + np.arange(1, len(texts) + 1)))]
+        odd = {*(np.searchsorted(firsts, clash, "right") - 1).tolist(), *(i for i, ok in enumerate(simple) if not ok)}
+        if odd:
+            parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+            for i in odd:
+                parts[i] = np.array([*self.whole.encode(texts[i], add_special_tokens=False).ids, END], np.uint16)
+            ids, bounds = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        return ids, bounds
+
+
+def _simple(text: str) -> bool:
+    """Whether the text's words can go to the tokenizer one by one and in lower case.
+
+    It normalises to NFC, lowers each character by itself, and keeps four control characters at which
+    ``str.split`` parts.
+    """
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return False
+    return text.isascii() or not ("\u0130" in text or "\u03a3" in text) and unicodedata.is_normalized("NFC", text)
+
+
+def _memory(path: str | None) -> Memory:
+    if path not in _memories:
+        _memories[path] = Memory(path)
+    return _memories[path]
 
 
 def _tokenized(batches, path):
+    memory = _memory(path)
     for batch in arrays.blocks(batches, "text"):
-        ids = encoded(batch.column("text").fill_null("").to_pylist(), path)
-        yield pa.record_batch([batch.column("doc"), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], names=["doc", "ids", "n"])
+        ids, bounds = memory.encode(batch.column("text").fill_null("").to_pylist())
+        blob = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((bounds * 2).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+        yield pa.record_batch([batch.column("doc"), blob, pa.array(np.diff(bounds))], names=["doc", "ids", "n"])
 
 
 def _of(column):
@@ -123,16 +244,16 @@ def _powers(n: int) -> list[int]:
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece; documents are indices of ``docs``."""
     sizes = np.array([len(d) for d in docs])
-    terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs))
-    owner = np.repeat(np.arange(len(docs)), [len(t) for t in terms])
-    norm = K1 * (1 - B + B * sizes / mean)
-    flat, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float32)
-    weight = (idf[flat] * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float32)
-    weight[flat == END] = 0  # the end id is no term
+    terms, counts = zip(*(np.unique(d[d != END], return_counts=True) for d in docs))  # the end id is no term
     first = np.concatenate(([0], np.cumsum([len(t) for t in terms])))
+    owner = np.repeat(np.arange(len(docs)), np.diff(first))
+    norm = K1 * (1 - B + B * sizes / mean)
+    flat, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float32)
+    weight = idf[flat] * tf * (K1 + 1) / (tf + norm[owner])
     order = np.argsort(flat, kind="stable")
     posted, posted_weight = owner[order], weight[order]
     begins = np.searchsorted(flat[order], np.arange(VOCABULARY + 1))
+    indexed = len(docs)
     left = sizes.copy()
     out, sequence, at, rest = [], 0, 0, int(sizes.sum())
 
@@ -147,11 +268,16 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
 
     def neighbours(d: int):
         """Blocks of the unused documents that share a term with ``d``, best first, smaller index on ties."""
+        nonlocal posted, posted_weight, begins, indexed
+        unused = left > 0
+        if unused.sum() * 2 < indexed:  # used documents leave the index
+            keep, indexed = unused[posted], int(unused.sum())
+            begins = np.concatenate(([0], np.cumsum(keep)))[begins]
+            posted, posted_weight = posted[keep], posted_weight[keep]
         mine = slice(first[d], first[d + 1])
-        score = np.zeros(len(docs), np.float32)
-        for t, w in zip(flat[mine], weight[mine]):
-            p = slice(begins[t], begins[t + 1])
-            score[posted[p]] += w * posted_weight[p]
+        begin, size = begins[flat[mine]], np.diff(begins)[flat[mine]]
+        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score = np.bincount(posted[at], np.repeat(weight[mine], size) * posted_weight[at], len(docs))
         score[left == 0] = 0
         score[d] = 0
         near, size = np.flatnonzero(score), NEIGHBOURS

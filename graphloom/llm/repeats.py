@@ -66,11 +66,8 @@ def word_units(data, offsets):
 
 
 def leading_words(data: np.ndarray) -> np.ndarray:
-    """At each byte the eight from there on as one number, the first the highest (zeros after the end)."""
-    out = np.zeros(len(data), np.uint64)
-    for k in range(8):
-        out[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * (7 - k))
-    return out
+    """At each byte the eight from there on as one number, the first the highest (zeros after the end): a view that takes no room."""
+    return np.ndarray((len(data),), ">u8", data.tobytes() + bytes(8), 0, (1,))
 
 
 def leading_bytes(scan, at: np.ndarray) -> np.ndarray:
@@ -305,7 +302,7 @@ def equal_strings(words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nd
     """
     which, group = np.arange(len(at)), np.zeros(len(at), np.int64)
     for depth in range(0, length, 8):
-        key = words[at[which] + depth]
+        key = words[at[which] + depth].astype(np.uint64)
         if length - depth < 8:
             key = key >> np.uint64(8 * (8 - length + depth))
         order = np.lexsort((key, group)) if depth else np.argsort(key, kind="stable")
@@ -316,23 +313,36 @@ def equal_strings(words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nd
     return which, group
 
 
+#: Strings that are sorted at once, about.
+AT_ONCE = 1 << 18
+
+
 def _sorted_windows(batches, spec: Windows):
-    """Sort the windows of a bucket's edges byte by byte, compare neighbours, and find those that a smaller document has."""
+    """Sort the windows of a bucket's edges byte by byte, compare neighbours, and find those that a smaller document has.
+
+    Windows are taken in shares by their first bytes, so that a large bucket needs no more room to sort.
+    """
     width, size = spec.window + spec.grams - 1, spec.window
     for _, ids, tags, (context, begin, mine) in _gathered(batches, np.uint8, np.uint32, np.uint64):
-        row, k = np.nonzero(mine[:, None] >> np.arange(spec.grams, dtype=np.uint64)[None, :] & np.uint64(1))
-        which, group = equal_strings(leading_words(context), row * width + k, size)
-        row, k = row[which], k[which]
-        place, ids, tags = begin[row] + k.astype(np.uint32), ids[row], tags[row]
-        order = np.lexsort((place, ids, group))
-        group, place, ids, tags = group[order], place[order], ids[order], tags[order]
-        if not len(group):
-            continue
-        first = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(len(group)), 0))
-        later = ids > ids[first]
-        if spec.within:
-            later |= (ids == ids[first]) & (tags == tags[first]) & (place > place[first])
-        yield _hits(ids[later], tags[later], place[later], np.full(later.sum(), WINDOW))
+        words = leading_words(context)
+        every, offset = (x.astype(np.int32) for x in np.nonzero(mine[:, None] >> np.arange(spec.grams, dtype=np.uint64)[None, :] & np.uint64(1)))
+        shares = 1 + len(every) // AT_ONCE
+        share = (arrays.mixed(words[every.astype(np.int64) * width + offset].astype(np.uint64)) % np.uint64(shares)).astype(np.int32)
+        for turn in range(shares):
+            mine_now = np.flatnonzero(share == turn)
+            row, k = every[mine_now].astype(np.int64), offset[mine_now]
+            which, group = equal_strings(words, row * width + k, size)
+            row, k = row[which], k[which]
+            place, owner, tag = begin[row] + k.astype(np.uint32), ids[row], tags[row]
+            order = np.lexsort((place, owner, group))
+            group, place, owner, tag = group[order], place[order], owner[order], tag[order]
+            if not len(group):
+                continue
+            first = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(len(group)), 0))
+            later = owner > owner[first]
+            if spec.within:
+                later |= (owner == owner[first]) & (tag == tag[first]) & (place > place[first])
+            yield _hits(owner[later], tag[later], place[later], np.full(later.sum(), WINDOW))
 
 
 def covered(spec: Windows, n_units: int, hits, tag: int) -> np.ndarray:

@@ -157,6 +157,8 @@ def _matching(query: tuple, postings: Column, ids: dict[str, int]) -> Column:
 def candidates(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``_number``, ``_rules`` array of kinds): documents that satisfy a rule's trigram query."""
     asked = {r.kind: q for r in rules if (q := trigram_query(r.regex)) != TRUE}
+    if not asked:
+        return docs.sparkSession.createDataFrame([], "_number long, _rules array<string>")
     wanted = {t: i for i, t in enumerate(sorted(set().union(*map(trigrams, asked.values()))))}
     index = trigram_index(docs, wanted, id_col, text_col, max(1, -(-docs.count() // BLOCK_DOCS)))
     by_block = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("tri", "numbers"))).alias("postings"))

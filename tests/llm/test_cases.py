@@ -166,6 +166,12 @@ def test_posting_lists_hold_every_document_of_a_trigram(spark):
     assert found == {0: {0, 1, 2, 4, None}, 1: {0, 2, 4, None}, 2: {5}}
 
 
+def test_rules_without_trigrams_scan_every_text(spark):
+    docs = spark.createDataFrame([(1, "x " + "0af9" * 9), (2, None)], "doc_id long, text string")
+    rules = [secrets.Rule("hex", r"[0-9a-f]{32,}", base=True)]
+    assert {r.doc_id: r.spans for r in secrets.secret_scan(docs, rules).collect()} == {1: "hex:2:38", 2: ""}
+
+
 LONG = " ".join(f"w{i * 7919 % 100003}x" for i in range(330_000))  # above two blocks of text
 
 

@@ -345,7 +345,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     """Pieces: id, ``start``, ``length``, ``doc_tokens``, ``sequence_id``, ``offset`` and ``ids``.
 
     ``ids`` are the piece's ids as little-endian unsigned 32-bit values. ``tokenizer`` is the path of
-    a tokenizer file (None: the public word BPE of 49,408 ids).
+    a tokenizer file (None: the public word BPE of 49,408 ids; another one must be of its kind, with a suffix at word ends).
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))

@@ -1,20 +1,20 @@
 """Query names -> callables over the driver's tables, and their DuckDB SQL.
 
-The graph is customer-supplier: an edge's weight is its number of lineitems, customers get even
-and suppliers odd node ids. Queries that cost about as much as the graph has edges take all of
-them; walks from every seed and comparisons of communities take edges of weight ``MIN_WEIGHT`` or more.
+The graph is customer-supplier, whole in every query: an edge's weight is its number of lineitems,
+customers get even and suppliers odd node ids. The second graph, with triangles, is that of users
+whose events follow each other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import evaluation, experiment, folds, fusion, graph, kernels, learn, louvain as modular, quality, spectral, text_graph, walk, weighting
 from graphloom.session import table
 
 FLAGSHIP = "arcte_local_communities"
-MIN_WEIGHT, RHO, EPSILON, ALPHA = 3, 0.1, 1e-5, 0.2
+RHO, EPSILON, ALPHA = 0.1, 1e-5, 0.2
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,57 +30,57 @@ def query(sql: str | None = None):
     return add
 
 
-def customer_supplier(spark: SparkSession, sf_dir: str, least: int = MIN_WEIGHT, extra: list = ()) -> DataFrame:
+def customer_supplier(spark: SparkSession, sf_dir: str, extra: list = ()) -> DataFrame:
     """Directed customer -> supplier edges."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     pairs = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     keys = [(F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"), *extra]
-    return pairs.groupBy(*keys).agg(F.count("*").cast("double").alias("w")).filter(F.col("w") >= least)
+    return pairs.groupBy(*keys).agg(F.count("*").cast("double").alias("w"))
 
 
 def edges(spark, sf_dir) -> DataFrame:
     return graph.with_reverse(customer_supplier(spark, sf_dir))
 
 
-def one_way(spark, sf_dir) -> DataFrame:
-    return customer_supplier(spark, sf_dir, 1)
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected edges between users whose events follow each other within a day, weighted by how often."""
+    e = table(spark, sf_dir, "events").withColumn("next", F.lead("user_id").over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")))
+    pairs = e.filter("next <> user_id").groupBy(F.least("user_id", "next").alias("src"), F.greatest("user_id", "next").alias("dst"))
+    return graph.with_reverse(pairs.agg(F.count("*").cast("double").alias("w")))
 
 
-def all_edges(spark, sf_dir) -> DataFrame:
-    return graph.with_reverse(one_way(spark, sf_dir))
-
-
-_ONE = f"""base AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst, CAST(count(*) AS DOUBLE) AS w
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING count(*) >= {MIN_WEIGHT})"""
+_ONE = """base AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst, CAST(count(*) AS DOUBLE) AS w
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 _E = f"""{_ONE},
 edges AS (SELECT src, dst, w FROM base UNION ALL SELECT dst, src, w FROM base),
 outd AS (SELECT src AS node, sum(w) AS d FROM edges GROUP BY 1),
 walk AS (SELECT src, dst, w / d AS p FROM edges JOIN outd ON src = node)"""
-_ONE_ALL, _ALL = (x.replace(f">= {MIN_WEIGHT}", ">= 1") for x in (_ONE, _E))
+_U = f"""{_E.replace(_ONE, """base AS (SELECT least(user_id, nx) AS src, greatest(user_id, nx) AS dst, CAST(count(*) AS DOUBLE) AS w
+  FROM (SELECT user_id, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS nx FROM events) WHERE nx <> user_id GROUP BY 1, 2)""")}"""
 
 
-@query(f"WITH {_ONE_ALL} SELECT node, CASE WHEN sum(o) = 0 THEN 1.0 ELSE sum(o) END AS out_deg, sum(i) AS in_deg FROM (SELECT src AS node, w AS o, 0.0 AS i FROM base UNION ALL SELECT dst, 0.0, w FROM base) GROUP BY 1")
+@query(f"WITH {_ONE} SELECT node, CASE WHEN sum(o) = 0 THEN 1.0 ELSE sum(o) END AS out_deg, sum(i) AS in_deg FROM (SELECT src AS node, w AS o, 0.0 AS i FROM base UNION ALL SELECT dst, 0.0, w FROM base) GROUP BY 1")
 def degrees(spark, sf_dir):
-    return graph.degrees(one_way(spark, sf_dir))
+    return graph.degrees(customer_supplier(spark, sf_dir))
 
 
-@query(f"WITH {_ONE_ALL} SELECT src, dst, sum(w) / 2 AS w FROM (SELECT src, dst, w FROM base UNION ALL SELECT dst, src, w FROM base) GROUP BY 1, 2")
+@query(f"WITH {_ONE} SELECT src, dst, sum(w) / 2 AS w FROM (SELECT src, dst, w FROM base UNION ALL SELECT dst, src, w FROM base) GROUP BY 1, 2")
 def symmetrized(spark, sf_dir):
-    return graph.symmetrized(one_way(spark, sf_dir))
+    return graph.symmetrized(customer_supplier(spark, sf_dir))
 
 
-@query(f"WITH {_ALL} SELECT src, dst, p FROM walk")
+@query(f"WITH {_E} SELECT src, dst, p FROM walk")
 def transition_natural(spark, sf_dir):
-    return graph.transitions(all_edges(spark, sf_dir))
+    return graph.transitions(edges(spark, sf_dir))
 
 
-@query(f"""WITH {_ALL}, marked AS (SELECT c_custkey * 2 AS node FROM customer WHERE c_mktsegment = 'BUILDING')
+@query(f"""WITH {_E}, marked AS (SELECT c_custkey * 2 AS node FROM customer WHERE c_mktsegment = 'BUILDING')
 SELECT src, dst, sum(p) AS p FROM (
   SELECT src, dst, CASE WHEN node IS NULL THEN p ELSE p * (1 - {ALPHA}) END AS p FROM walk LEFT JOIN marked ON src = node
   UNION ALL SELECT node, node, {ALPHA} FROM marked) GROUP BY 1, 2""")
 def transition_label_absorbing(spark, sf_dir):
     marked = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") * 2).alias("node"))
-    return graph.absorbing_transitions(all_edges(spark, sf_dir), marked, ALPHA)
+    return graph.absorbing_transitions(edges(spark, sf_dir), marked, ALPHA)
 
 
 _EPS = f"""stats AS (SELECT e.src AS seed, any_value(a.d) AS ds, avg(b.d) AS mean, min(b.d) AS lo, max(b.d) AS hi
@@ -89,50 +89,50 @@ raw AS (SELECT seed, {EPSILON} * ln(1 + ds) / ln(1 + mean) AS x, 1 / (ds * lo) A
 eps AS (SELECT seed, CASE WHEN x > high THEN high WHEN x < low THEN (low + x) / 2 ELSE x END AS eps FROM raw)"""
 
 
-@query(f"WITH {_ALL}, {_EPS} SELECT seed, eps FROM eps")
+@query(f"WITH {_E}, {_EPS} SELECT seed, eps FROM eps")
 def epsilon_effective(spark, sf_dir):
-    return graph.epsilon_effective(all_edges(spark, sf_dir), EPSILON)
+    return graph.epsilon_effective(edges(spark, sf_dir), EPSILON)
 
 
-@query(f"WITH {_ALL} SELECT dst AS node, src AS community FROM edges UNION SELECT src, src FROM edges UNION SELECT dst, dst FROM edges")
+@query(f"WITH {_E} SELECT dst AS node, src AS community FROM edges UNION SELECT src, src FROM edges UNION SELECT dst, dst FROM edges")
 def base_communities(spark, sf_dir):
-    return graph.base_communities(all_edges(spark, sf_dir))
+    return graph.base_communities(edges(spark, sf_dir))
 
 
-@query(f"""WITH {_ALL}, m AS (SELECT dst AS node, src AS community FROM edges UNION SELECT src, src FROM edges UNION SELECT dst, dst FROM edges),
+@query(f"""WITH {_E}, m AS (SELECT dst AS node, src AS community FROM edges UNION SELECT src, src FROM edges UNION SELECT dst, dst FROM edges),
 g AS (SELECT community, list_sort(list(node)) AS members FROM m GROUP BY 1)
 SELECT min(community) AS community, CAST(len(members) AS BIGINT) AS size FROM g GROUP BY members""")
 def base_communities_dedup(spark, sf_dir):
-    return graph.base_communities_dedup(all_edges(spark, sf_dir))
+    return graph.base_communities_dedup(edges(spark, sf_dir))
 
 
-_LAPLACE = f"""WITH {_ALL}, ind AS (SELECT dst AS node, sum(w) AS d FROM edges GROUP BY 1),
+_LAPLACE = f"""WITH {_E}, ind AS (SELECT dst AS node, sum(w) AS d FROM edges GROUP BY 1),
 lap AS (SELECT src, dst, sum(w) AS w FROM (SELECT node AS src, node AS dst, d AS w FROM ind UNION ALL SELECT src, dst, -w FROM edges) GROUP BY 1, 2)
 SELECT src, dst, {{}} AS w FROM lap JOIN ind a ON src = a.node JOIN ind b ON dst = b.node"""
 
 
 @query(_LAPLACE.format("w"))
 def laplacian_unnormalized(spark, sf_dir):
-    return graph.laplacian_unnormalized(all_edges(spark, sf_dir))
+    return graph.laplacian_unnormalized(edges(spark, sf_dir))
 
 
 @query(_LAPLACE.format("w / sqrt(a.d) / sqrt(b.d)"))
 def laplacian_normalized(spark, sf_dir):
-    return graph.laplacian_normalized(all_edges(spark, sf_dir))
+    return graph.laplacian_normalized(edges(spark, sf_dir))
 
 
 @query(_LAPLACE.format("w / a.d"))
 def laplacian_random_walk(spark, sf_dir):
-    return graph.laplacian_random_walk(all_edges(spark, sf_dir))
+    return graph.laplacian_random_walk(edges(spark, sf_dir))
 
 
 def _push(spark, sf_dir, kind):
-    e = all_edges(spark, sf_dir)
+    e = edges(spark, sf_dir)
     start = graph.seeds(e).select("seed", F.col("seed").alias("node"), F.lit(1.0 if kind == "cumulative" else 0.0).alias("s"), F.lit(1.0).alias("r"))
     return graph.push_step(start, graph.transitions(e), F.lit(True), RHO, kind)
 
 
-_PUSH = f"""WITH {_ALL}, seeds AS (SELECT dst AS seed FROM edges GROUP BY 1 HAVING count(*) > 1)
+_PUSH = f"""WITH {_E}, seeds AS (SELECT dst AS seed FROM edges GROUP BY 1 HAVING count(*) > 1)
 SELECT seed, node, sum(s) AS s, sum(r) AS r FROM (SELECT seed, seed AS node, {{}} AS s, {{}} AS r FROM seeds
   UNION ALL SELECT seed, dst, {{}} * p, {{}} * p FROM seeds JOIN walk ON seed = src) GROUP BY 1, 2"""
 
@@ -206,7 +206,7 @@ def arcte_centrality(spark, sf_dir):
 
 # Features of the weighting queries: customers over suppliers, values are weights; labels: market segments.
 def _features(spark, sf_dir):
-    return one_way(spark, sf_dir).select(F.col("src").alias("node"), F.col("dst").alias("community"), F.col("w").alias("value"))
+    return customer_supplier(spark, sf_dir).select(F.col("src").alias("node"), F.col("dst").alias("community"), F.col("w").alias("value"))
 
 
 def _segments(spark, sf_dir):
@@ -284,7 +284,7 @@ def chi2_projection(spark, sf_dir):
 
 # Communities of the quality queries: each supplier with its customers.
 def _members(spark, sf_dir):
-    e = one_way(spark, sf_dir)
+    e = customer_supplier(spark, sf_dir)
     own = e.select(F.col("dst").alias("community"), F.col("dst").alias("node")).distinct()
     return own.unionByName(e.select(F.col("dst").alias("community"), F.col("src").alias("node")))
 
@@ -351,12 +351,12 @@ WEIGHTS = {"F": 2.0, "O": 1.0, "P": 1.0}
 
 
 def _views(spark, sf_dir):
-    e = customer_supplier(spark, sf_dir, 2, [F.col("o_orderstatus").alias("view")])
+    e = customer_supplier(spark, sf_dir, [F.col("o_orderstatus").alias("view")])
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "view", "w"))
 
 
 _V = """vb AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst, o_orderstatus AS view, CAST(count(*) AS DOUBLE) AS w
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
 ve AS (SELECT * FROM vb UNION ALL SELECT dst, src, view, w FROM vb), a AS (SELECT unnest(['F', 'O', 'P']) AS view, unnest([0.5, 0.25, 0.25]) AS a)"""
 
 
@@ -372,7 +372,7 @@ def fuse_addition(spark, sf_dir):
 
 
 TURNS, TELEPORT = 20, 0.15
-_PI = f"""WITH RECURSIVE {_ALL}, nn AS (SELECT DISTINCT src AS node FROM edges), cnt AS (SELECT count(*) AS n FROM nn),
+_PI = f"""WITH RECURSIVE {_E}, nn AS (SELECT DISTINCT src AS node FROM edges), cnt AS (SELECT count(*) AS n FROM nn),
 it(turn, node, pi) AS (SELECT 0, node, 1.0 / n FROM nn, cnt UNION ALL (
   SELECT any_value(turn) + 1, dst, {1 - TELEPORT} * sum(pi * p) + {TELEPORT} / (SELECT n FROM cnt) FROM it JOIN walk ON node = src WHERE turn < {TURNS} GROUP BY dst)),
 pi AS (SELECT node, pi FROM it WHERE turn = {TURNS})"""
@@ -380,18 +380,18 @@ pi AS (SELECT node, pi FROM it WHERE turn = {TURNS})"""
 
 @query(_PI + " SELECT node, pi FROM pi")
 def stationary_distribution(spark, sf_dir):
-    return fusion.stationary_distribution(all_edges(spark, sf_dir), TELEPORT, TURNS)
+    return fusion.stationary_distribution(edges(spark, sf_dir), TELEPORT, TURNS)
 
 
 @query(_PI + ", q AS (SELECT src, dst, pi * p AS w FROM walk JOIN pi ON src = node) SELECT src, dst, sum(w) / 2 AS w FROM (SELECT * FROM q UNION ALL SELECT dst, src, w FROM q) GROUP BY 1, 2")
 def implicit_combinatorial(spark, sf_dir):
-    e = all_edges(spark, sf_dir)
+    e = edges(spark, sf_dir)
     return fusion.implicit_combinatorial(fusion.stationary_distribution(e, TELEPORT, TURNS), graph.transitions(e))
 
 
 @query(_PI + ", q AS (SELECT src, dst, sqrt(x.pi) * p / sqrt(y.pi) AS w FROM walk JOIN pi x ON src = x.node JOIN pi y ON dst = y.node) SELECT src, dst, sum(w) / 2 AS w FROM (SELECT * FROM q UNION ALL SELECT dst, src, w FROM q) GROUP BY 1, 2")
 def implicit_directed(spark, sf_dir):
-    e = all_edges(spark, sf_dir)
+    e = edges(spark, sf_dir)
     return fusion.implicit_directed(fusion.stationary_distribution(e, TELEPORT, TURNS), graph.transitions(e))
 
 
@@ -514,21 +514,21 @@ def graph_fusion_walks(spark, sf_dir):
     return fusion.graph_fusion_directed(_views(spark, sf_dir), WEIGHTS, "zhou", "directed")[0]
 
 
-@query(f"WITH {_ALL}, t AS (SELECT d / sum(d) OVER () AS p FROM outd) SELECT -sum(p * ln(p)) AS entropy FROM t")
+@query(f"WITH {_E}, t AS (SELECT d / sum(d) OVER () AS p FROM outd) SELECT -sum(p * ln(p)) AS entropy FROM t")
 def degree_entropy(spark, sf_dir):
-    return fusion.entropy(graph.out_degrees(all_edges(spark, sf_dir)), "out_deg")
+    return fusion.entropy(graph.out_degrees(edges(spark, sf_dir)), "out_deg")
 
 
 @query(_PI + """, q AS (SELECT src, dst, pi * p AS w FROM walk JOIN pi ON src = node), c AS (SELECT src, dst, sum(w) / 2 AS w FROM (SELECT * FROM q UNION ALL SELECT dst, src, w FROM q) GROUP BY 1, 2)
 SELECT src, dst, sum(w) AS w FROM (SELECT node AS src, node AS dst, pi AS w FROM pi UNION ALL SELECT src, dst, -w FROM c) GROUP BY 1, 2""")
 def laplacian_combinatorial(spark, sf_dir):
-    return fusion.combinatorial_laplacian(all_edges(spark, sf_dir), TELEPORT, TURNS, None)
+    return fusion.combinatorial_laplacian(edges(spark, sf_dir), TELEPORT, TURNS, None)
 
 
 @query(_PI + """, q AS (SELECT src, dst, sqrt(x.pi) * p / sqrt(y.pi) AS w FROM walk JOIN pi x ON src = x.node JOIN pi y ON dst = y.node), c AS (SELECT src, dst, sum(w) / 2 AS w FROM (SELECT * FROM q UNION ALL SELECT dst, src, w FROM q) GROUP BY 1, 2)
 SELECT src, dst, sum(w) AS w FROM (SELECT node AS src, node AS dst, 1.0 AS w FROM pi UNION ALL SELECT src, dst, -w FROM c) GROUP BY 1, 2""")
 def laplacian_directed(spark, sf_dir):
-    return fusion.directed_laplacian(all_edges(spark, sf_dir), TELEPORT, TURNS, None)
+    return fusion.directed_laplacian(edges(spark, sf_dir), TELEPORT, TURNS, None)
 
 
 @query("""WITH lab AS (SELECT c_custkey AS node, c_mktsegment AS label FROM customer), tr AS (SELECT unnest(range(0, 3)) AS trial),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprints, language, neardup, packing, pieces, quality, secrets, substrings, suffixes, toxicity
+from graphloom.llm import alignment, bytepairs, fingerprints, language, neardup, packing, pieces, quality, secrets, spelling, substrings, suffixes, toxicity
 from graphloom.session import table
 
 
@@ -61,6 +61,22 @@ def op10_secret_scans(spark, sf_dir):
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_pairs(spark, sf_dir):
+    found = bytepairs.decoded(bytepairs.encoded(table(spark, sf_dir, "documents")))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_spelling(spark, sf_dir):
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents")))
+
+
+def op13_alignment(spark, sf_dir):
+    found = alignment.alignments(table(spark, sf_dir, "documents"))
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", groups.alias("groups_sha256"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op5_toxicity": op5_toxicity,
@@ -72,6 +88,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
+    "op11_byte_pairs": op11_byte_pairs,
+    "op12_spelling": op12_spelling,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL = {"op9_quality_rules": quality.ORACLE_SQL, "op10_secret_scans": secrets.ORACLE_SQL}

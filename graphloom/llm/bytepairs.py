@@ -40,7 +40,7 @@ LEAF = 32
 #: Unsplit parts of this many bytes are encoded by several tasks, in rows of half as many.
 SPREAD = 1 << 14
 #: Parts that a task remembers, at most, and the longest one that it does.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: A code point without a class in any version of Unicode.
 UNASSIGNED = "\u0378"
 
@@ -71,10 +71,13 @@ class BytePairs:
             self.bytes[i] = bytes(map(byte.__getitem__, symbols))
         of = {b: vocab[s] for s, b in byte.items()}
         self.single = [of[b] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Rank of a merge by its pair, and its token by rank; the last rank stands for no merge.
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(data["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self.ranks[vocab[a], vocab[b]] = rank
+            self.made.append(vocab[a + b])
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
         for content, i in self.added.items():
             self.bytes[i] = content.encode()
@@ -103,36 +106,50 @@ class BytePairs:
             at += len(u)
         return out
 
-    def parts(self, text: str):
+    def parts(self, text: str) -> list:
         """Units of ``text``, and ids where it names added tokens."""
         if self.cuts is None or not self.cuts.search(text):
-            yield from self.units(text)
-            return
+            return self.units(text)
+        out = []
         for k, piece in enumerate(self.cuts.split(text)):
-            if k % 2:
-                yield self.added[piece]
-            else:
-                yield from self.units(piece)
+            out += [self.added[piece]] if k % 2 else self.units(piece)
+        return out
 
     def merged(self, data: bytes) -> list[int]:
         """Apply the first merge in rank, leftmost first, until none applies."""
         ids = list(map(self.single.__getitem__, data))
-        n, merges = len(ids), self.merges
+        if len(ids) > 8 * LEAF:
+            return self._merged_long(ids)
+        get, none = self.ranks.get, len(self.made)
+        ranks = [get(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks and (rank := min(ranks)) < none:
+            i = ranks.index(rank)
+            ids[i] = self.made[rank]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of merges and linked neighbours."""
+        n, get = len(ids), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = [(m[0], i) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        waiting = [(rank, i) for i in range(n - 1) if (rank := get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(waiting)
         while waiting:
             rank, i = heapq.heappop(waiting)
             j = after[i]
-            if ids[i] < 0 or j >= n or (m := merges.get((ids[i], ids[j]))) is None or m[0] != rank:
+            if ids[i] < 0 or j >= n or get((ids[i], ids[j])) != rank:
                 continue
-            ids[i], ids[j], after[i] = m[1], -1, after[j]
+            ids[i], ids[j], after[i] = self.made[rank], -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
-                if m := merges.get((ids[i], ids[after[j]])):
-                    heapq.heappush(waiting, (m[0], i))
-            if before[i] >= 0 and (m := merges.get((ids[before[i]], ids[i]))):
-                heapq.heappush(waiting, (m[0], before[i]))
+                if (rank := get((ids[i], ids[after[j]]))) is not None:
+                    heapq.heappush(waiting, (rank, i))
+            if before[i] >= 0 and (rank := get((ids[before[i]], ids[i]))) is not None:
+                heapq.heappush(waiting, (rank, before[i]))
         return [i for i in ids if i >= 0]
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
@@ -174,15 +191,18 @@ class BytePairs:
 
 
 class _Known(dict):
-    """Ids of parts, remembered; emptied when full."""
+    """Ids of parts, remembered in two halves: when the newer is full, the older goes, but for what was asked for since."""
 
     def __init__(self, own: BytePairs):
-        self.own = own
+        self.own, self.older = own, {}
 
     def __missing__(self, part) -> bytes:
-        ids = array("i", [part] if isinstance(part, int) else self.own.unit(part.encode())).tobytes()
+        ids = self.older.get(part)
+        if ids is None:
+            ids = array("i", [part] if isinstance(part, int) else self.own.unit(part.encode())).tobytes()
         if isinstance(part, int) or len(part) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
                 self.clear()
             self[part] = ids
         return ids

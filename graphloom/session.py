@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables. Spark's reader is the only thing that opens inputs."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,10 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def written(df: DataFrame, once: bool = False) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    ``once``: nothing else is computed from ``df``, so its shuffle files go when it is written.
+    """
+    path, conf = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    try:
+        conf.set(SHUFFLE_CLEANUP, "true" if once else before)
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     return out

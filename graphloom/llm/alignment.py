@@ -4,11 +4,14 @@
 cut before runs of white space, at characters before which neither vocabulary can merge: A's
 splitting rule never puts white space after something else, and no piece of B holds that character
 behind another one (looked up when the model is loaded). Blocks of documents number their distinct
-segments; the segments of all blocks are brought together, each is tokenised and aligned once, and
+segments; the segments of all blocks are sorted together, each is tokenised and aligned once, and
 the alignments go back to the blocks by their numbers. A block is a few megabytes of text, so what a
 task holds follows the block. Links never leave a segment, since both tokenizers' tokens end there.
 
-How many documents hold a pair of linked ids is counted by block and summed over the corpus.
+An alignment is the path along all token ends: at each step a token of A ends (1), of B (2), or one
+of both (3). Between two ends lies one token of each, so steps are links, and steps of 3 close groups.
+How many documents hold a pair of linked ids is counted by block and summed over the corpus; the sums
+go back to the blocks that hold the pair.
 
 Defined results: a text that is null, empty, or that either tokenizer's tokens do not give back
 byte for byte has no tokens. Repeated rows count as documents each, with any ids or none. Other
@@ -20,9 +23,11 @@ from __future__ import annotations
 import re
 from array import array
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,12 +63,12 @@ class Aligner:
         if data["normalizer"] or data["pre_tokenizer"]["type"] != "ByteLevel" or not data["pre_tokenizer"]["use_regex"] or data["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("A must be a byte-level vocabulary that splits texts and adds no space")
         byte, vocab = byte_of_symbol(), data["model"]["vocab"]
-        self.a_bytes = dict.fromkeys((t["id"] for t in data["added_tokens"]), b"")
-        self.a_bytes |= {i: bytes(map(byte.__getitem__, s)) for s, i in vocab.items()}
+        of_a = {i: bytes(map(byte.__getitem__, symbols)) for symbols, i in vocab.items()}
+        self.a_table = arrays.Strings([of_a.get(i, b"") for i in range(1 + max([*of_a, *(t["id"] for t in data["added_tokens"])]))])
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         special = [self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_unused(i) for i in range(len(pieces))]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.b_table = arrays.Strings([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)])
         own = [p.replace(SPACE, " ") for i, p in enumerate(pieces) if not self.b.is_byte(i) and not special[i]]
         inside = {c for p in own for before, c in zip(p, p[1:]) if not re.match(f"[{WHITE}]", before)}
         after_space = {p[1] for p in own if len(p) > 1 and p[0] == " "}
@@ -76,35 +81,51 @@ class Aligner:
         """Segments of a space and the text."""
         return self.pattern.findall(" " + text)
 
-    def b_ids(self, segment: str) -> list[int]:
+    def b_ids(self, segments: list[str]) -> list[list[int]]:
         """B puts a space before what it encodes."""
-        if segment == " ":
-            return [self.b.piece_to_id(SPACE)]
-        return self.b.encode(segment[1:]) if segment[0] == " " else self.b.encode(segment)[1:]
-
-    def align(self, segments: list[str]):
-        """For each segment None, or A's and B's ids, the groups as text, their number, and the linked pairs."""
-        out = []
-        for segment, a in zip(segments, self.a.encode_batch(segments, add_special_tokens=False)):
-            raw, a, b = segment.encode(), a.ids, self.b_ids(segment)
-            a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-                out.append(None)
-                continue
-            groups, pairs, i, j, x, y, first = [], [], 0, 0, 0, 0, (0, 0)
-            # Tokens in order of their ends; a pair is linked from when both have begun until one ends.
-            while i < len(a) and j < len(b):
-                pairs.append((a[i], b[j]))
-                end_a, end_b = x + len(a_bytes[i]), y + len(b_bytes[j])
-                if end_a <= end_b:
-                    i, x = i + 1, end_a
-                if end_b <= end_a:
-                    j, y = j + 1, end_b
-                if x == y:
-                    groups.append(",".join(map(str, a[first[0] : i])) + "|" + ",".join(map(str, b[first[1] : j])))
-                    first = i, j
-            out.append((a, b, ";".join(groups), len(groups), pairs))
-        return out
+        led = [x[0] == " " for x in segments]
+        found = self.b.encode([x[1:] if y else x for x, y in zip(segments, led)], num_threads=1)
+        single = [self.b.piece_to_id(SPACE)]
+        return [ids if y and len(x) > 1 else single if y else ids[1:] for x, y, ids in zip(segments, led, found)]
+
+    def align(self, segments: list[str]) -> tuple[list, list]:
+        """For each segment the ids of A and then of B, and the steps; None where a tokenizer does not give it back."""
+        raw = [x.encode() for x in segments]
+        sizes = np.array([len(x) for x in raw])
+        sides = [(self.a_table, [x.ids for x in self.a.encode_batch_fast(segments, add_special_tokens=False)]), (self.b_table, self.b_ids(segments))]
+        fits = np.ones(len(raw), bool)
+        for of, ids in sides:
+            flat, starts = _flat(ids)
+            whole = _sums(of.sizes[flat], starts) == sizes
+            fits &= whole
+            at = np.flatnonzero(whole)
+            if len(at):  # where the lengths agree, the bytes can be held against each other
+                there = np.concatenate(([0], np.cumsum(sizes[at])))
+                differ = of.joined(flat[np.repeat(whole, np.diff(starts))]) != np.frombuffer(b"".join(raw[k] for k in at), np.uint8)
+                fits[at] &= _sums(differ, there) == 0
+        at = np.flatnonzero(fits)
+        if not len(at):
+            return [None] * len(raw), [None] * len(raw)
+        (end_a, _), (end_b, _) = ((np.cumsum(of.sizes[x[0]]), x[1]) for of, ids in sides for x in [_flat([ids[k] for k in at])])
+        ends = np.union1d(end_a, end_b)
+        steps = (np.isin(ends, end_a) + 2 * np.isin(ends, end_b)).astype(np.uint8)
+        cuts = np.searchsorted(ends, np.cumsum(sizes[at]), "right")
+        tokens, path, before = [None] * len(raw), [None] * len(raw), 0
+        for k, cut in zip(at.tolist(), cuts.tolist()):
+            tokens[k] = array("i", sides[0][1][k] + sides[1][1][k]).tobytes()
+            path[k] = steps[before:cut].tobytes()
+            before = cut
+        return tokens, path
+
+
+def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists one after another, and where each list's begin (with the total)."""
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int64, starts[-1]), starts
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate(([0], np.cumsum(values, dtype=np.int64)))[starts])
 
 
 _loaded: dict = {}
@@ -153,70 +174,98 @@ def _numbered(batches, a, b):
         yield segments()
 
 
-_ALIGNED = "segment string, fits boolean, n_a int, n_b int, n_groups int, groups binary, links array<long>"
-
-
 def _aligned(batches, a, b):
-    own = _aligner(a, b)
+    """Rows sorted by segment: each segment is aligned when it comes up first."""
+    own, last = _aligner(a, b), (None, None, None)
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            found = own.align(part.column("segment").to_pylist())
-            rows = [(True, len(x[0]), len(x[1]), x[3], x[2].encode(), [p << 32 | q for p, q in x[4]]) if x else (False, 0, 0, 0, b"", []) for x in found]
-            fits, n_a, n_b, n_groups, groups, links = zip(*rows)
-            cols = [pa.array(fits), *(pa.array(x, pa.int32()) for x in (n_a, n_b, n_groups)), pa.array(groups, pa.binary()), pa.array(links, pa.list_(pa.int64()))]
-            yield pa.record_batch([part.column("segment"), *cols], names=["segment", "fits", "n_a", "n_b", "n_groups", "groups", "links"])
-
-
-def _by_number(part: pa.Table, column: str) -> pa.ChunkedArray:
-    """A block's segment values in the order of their numbers."""
-    order = np.argsort(part.column("no").to_numpy())
-    return part.column(column).take(pa.array(order))
-
-
-def _documents(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Segment numbers of a block's documents one after another, and where each document's begin (with the total)."""
-    raw = part.column("numbers").to_pylist()
-    return np.frombuffer(b"".join(raw), np.int32), np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int64)
-
-
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate(([0], np.cumsum(values)))[starts])
-
-
-def _fit(numbers, starts, segments) -> np.ndarray:
-    """Which documents have tokens: some segments, all of which fit."""
-    fits = _by_number(segments, "fits").to_numpy(zero_copy_only=False).astype(bool) if segments.num_rows else np.zeros(0, bool)
-    return (np.diff(starts) > 0) & (_sums(~fits[numbers], starts) == 0)
+        for at in range(0, batch.num_rows, 8192):
+            part = batch.slice(at, 8192)
+            coded = part.column("segment").dictionary_encode()
+            segments = coded.dictionary.to_pylist()
+            if segments[0] == last[0]:
+                found = own.align(segments[1:]) if len(segments) > 1 else ([], [])
+                tokens, path = [last[1], *found[0]], [last[2], *found[1]]
+            else:
+                tokens, path = own.align(segments)
+            last = segments[-1], tokens[-1], path[-1]
+            columns = [pa.array(x, pa.binary()).take(coded.indices) for x in (tokens, path)]
+            yield pa.record_batch([part.column("block"), part.column("no"), *columns], names=["block", "no", "tokens", "path"])
+
+
+class _Block:
+    """Documents of a block as segment numbers, and its segments' alignments one after another."""
+
+    def __init__(self, docs: pa.Table, segments: pa.Table):
+        raw = docs.column("numbers").to_pylist()
+        self.numbers = np.frombuffer(b"".join(raw), np.int32)
+        self.starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int64)
+        order = pa.array(np.argsort(segments.column("no").to_numpy()))
+        tokens, path = (segments.column(c).take(order).to_pylist() for c in ("tokens", "path"))
+        fits = np.array([x is not None for x in path], bool)
+        #: Documents that have tokens: some segments, all of which fit.
+        self.fit = (np.diff(self.starts) > 0) & (_sums(~fits[self.numbers], self.starts) == 0)
+        steps = np.frombuffer(b"".join(x or b"" for x in path), np.uint8)
+        self.link_starts = np.concatenate(([0], np.cumsum([len(x or b"") for x in path]))).astype(np.int64)
+        a_ends, b_ends = (steps & 1).astype(np.int64), (steps >> 1).astype(np.int64)
+        self.n_a, self.n_b, self.n_groups = (_sums(x, self.link_starts) for x in (a_ends, b_ends, steps == 3))
+        flat = np.frombuffer(b"".join(x or b"" for x in tokens), np.int32).astype(np.int64)
+        of_a = np.repeat(np.tile([True, False], len(path)), np.stack((self.n_a, self.n_b), 1).ravel())
+        self.a, self.b = flat[of_a], flat[~of_a]
+        # A step's tokens are those of which as many as before it have ended.
+        self.links = self.a[np.cumsum(a_ends) - a_ends] << 32 | self.b[np.cumsum(b_ends) - b_ends]
+        self.steps = steps
+
+    def held(self) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs, and how many documents hold each."""
+        codes, places = np.unique(self.links, return_inverse=True)
+        held = np.zeros(len(codes), np.int64)
+        for k in np.flatnonzero(self.fit):
+            own = np.unique(self.numbers[self.starts[k] : self.starts[k + 1]])
+            sizes = self.link_starts[own + 1] - self.link_starts[own]
+            shift = self.link_starts[own] - np.concatenate(([0], np.cumsum(sizes[:-1])))
+            held[np.unique(places[np.repeat(shift, sizes) + np.arange(sizes.sum())])] += 1
+        return codes[held > 0], held[held > 0]
+
+    def groups(self) -> list[bytes]:
+        """Groups of each segment as text that ends in a semicolon."""
+        both = self.steps == 3
+        group = np.cumsum(both) - both
+        which = np.concatenate((group[self.steps & 1 > 0] * 2, group[self.steps & 2 > 0] * 2 + 1))
+        order = np.argsort(which, kind="stable")
+        ids, which = np.concatenate((self.a, self.b))[order], which[order]
+        last = np.append(which[1:] != which[:-1], True)[: len(which)]
+        mark = np.where(~last, 0, 1 + which % 2)  # a comma within a side, a bar behind A's, a semicolon behind B's
+        known, place = np.unique(ids * 3 + mark, return_inverse=True)
+        strings = arrays.Strings([b"%d%c" % (x // 3, b",|;"[x % 3]) for x in known.tolist()])
+        text = strings.joined(place).tobytes()
+        ends = np.cumsum(strings.sizes[place])[np.cumsum(self.n_a + self.n_b) - 1] if len(place) else np.zeros(len(self.n_a), np.int64)
+        ends = np.where(np.cumsum(self.n_a + self.n_b) > 0, ends, 0).tolist()
+        return [text[x:y] for x, y in zip([0, *ends], ends)]
 
 
 def _held_pairs(docs: pa.Table, segments: pa.Table) -> pa.Table:
-    """Linked pairs of a block, and how many of its documents hold each."""
-    numbers, starts = _documents(docs)
-    fit = _fit(numbers, starts, segments)
-    links = _by_number(segments, "links").combine_chunks() if segments.num_rows else pa.array([], pa.list_(pa.int64()))
-    at = links.offsets.to_numpy()
-    codes, places = np.unique(links.values.to_numpy(), return_inverse=True)
-    held = np.zeros(len(codes), np.int64)
-    for k in np.flatnonzero(fit):
-        own = np.unique(numbers[starts[k] : starts[k + 1]])
-        sizes = at[own + 1] - at[own]
-        shift = at[own] - np.concatenate(([0], np.cumsum(sizes[:-1])))
-        held[np.unique(places[np.repeat(shift, sizes) + np.arange(sizes.sum())])] += 1
-    return pa.table({"link": codes, "held": held}).filter(pa.array(held > 0))
-
-
-def _composed(docs: pa.Table, segments: pa.Table) -> pa.Table:
-    """Totals and groups of a block's documents."""
-    numbers, starts = _documents(docs)
-    fit = _fit(numbers, starts, segments)
-    groups = _by_number(segments, "groups").to_pylist() if segments.num_rows else []
-    texts = [b";".join(map(groups.__getitem__, numbers[starts[k] : starts[k + 1]].tolist())).decode() if ok else "" for k, ok in enumerate(fit)]
-    out = {"doc": docs.column("doc")}
-    for name in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"):
-        values = _by_number(segments, name).to_numpy().astype(np.int64) if segments.num_rows else np.zeros(0, np.int64)
-        out[name] = pa.array(np.where(fit, _sums(values[numbers], starts), 0))
-    return pa.table(out | {"groups": pa.array(texts, pa.string())})
+    codes, held = _Block(docs, segments).held()
+    block = (docs if docs.num_rows else segments).column("block")[0].as_py()
+    return pa.table({"block": np.full(len(codes), block), "link": codes, "held": held})
+
+
+def _composed(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Totals and groups of a block's documents; ``pairs`` has the counts of its pairs."""
+    is_doc = pc.is_valid(rows.column("numbers"))
+    docs = rows.filter(is_doc)
+    own = _Block(docs, rows.filter(pc.invert(is_doc)))
+    links = pairs.column("link").to_numpy()
+    order = np.argsort(links)
+    at = np.searchsorted(links[order], own.links)
+    # A pair that no document with tokens holds has no count, and nothing asks for it.
+    known = np.append(links[order], -1)[at] == own.links
+    count, best = (np.where(known, np.append(pairs.column(c).to_numpy()[order], 0)[at], 0) for c in ("count", "best"))
+    groups = own.groups()
+    texts = [b"".join(map(groups.__getitem__, own.numbers[own.starts[k] : own.starts[k + 1]].tolist()))[:-1].decode() if ok else "" for k, ok in enumerate(own.fit)]
+    values = {"n_a": own.n_a, "n_b": own.n_b, "n_groups": own.n_groups, "n_links": np.diff(own.link_starts)}
+    values |= {"n_best": _sums(best, own.link_starts), "count_sum": _sums(count, own.link_starts)}
+    sums = {name: np.where(own.fit, _sums(x[own.numbers], own.starts), 0) for name, x in values.items()}
+    return pa.table({"doc": docs.column("doc"), **sums, "groups": pa.array(texts, pa.string())})
 
 
 def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a: str | None = None, b: str | None = None) -> DataFrame:
@@ -228,20 +277,22 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shipped(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    blocks = written(map_arrow(rows, partial(_numbered, a=a, b=b), f"block long, doc {kind}, numbers binary, no int, segment string"))
-    texts, named = blocks.filter("numbers is not null").select("block", "doc", "numbers"), blocks.filter("no is not null").select("block", "no", "segment")
-    known = written(map_arrow(named.select("segment").distinct(), partial(_aligned, a=a, b=b), _ALIGNED).withColumn("seg", F.monotonically_increasing_id()))
-    back = written(named.join(known.select("segment", "seg"), "segment").select("block", "no", "seg"))
+    shape = f"block long, doc {kind}, numbers binary, no int, segment string"
+    blocks = written(map_arrow(rows, partial(_numbered, a=a, b=b), shape))
+    named = blocks.filter("no is not null").select("block", "no", "segment").repartition("segment").sortWithinPartitions("segment")
+    back = written(map_arrow(named, partial(_aligned, a=a, b=b), "block long, no int, tokens binary, path binary"), once=True)
+    texts = blocks.filter("numbers is not null").select("block", "doc", "numbers")
 
-    linked = back.join(known.select("seg", "fits", "links"), "seg").drop("seg")
-    held = texts.groupBy("block").cogroup(linked.groupBy("block")).applyInArrow(_held_pairs, "link long, held long")
+    held = written(texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_held_pairs, "block long, link long, held long"), once=True)
     counts = written(held.groupBy("link").agg(F.sum("held").alias("count")))
     top = counts.groupBy(F.shiftright("link", 32).alias("a_id")).agg(F.max("count").alias("top"))
-    rated = counts.join(top, F.shiftright("link", 32) == F.col("a_id")).select("link", "count", (F.col("count") == F.col("top")).cast("int").alias("best"))
-    # Links of segments that no document with tokens holds have no count; nothing asks for them.
-    sums = known.select("seg", F.explode("links").alias("link")).join(rated, "link").groupBy("seg").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    whole = known.select("seg", "fits", "n_a", "n_b", "n_groups", "groups").join(sums, "seg", "left").na.fill(0)
-    composed = texts.groupBy("block").cogroup(back.join(whole, "seg").drop("seg").groupBy("block")).applyInArrow(
+    rated = counts.join(top, F.shiftright("link", 32) == F.col("a_id")).select("link", "count", (F.col("count") == F.col("top")).cast("long").alias("best"))
+    pairs = written(held.select("block", "link").join(rated, "link").select("block", "link", "count", "best"), once=True)
+    discard(held, counts)
+
+    whole = texts.select("*", F.lit(None).cast("int").alias("no"), F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("binary").alias("path"))
+    whole = whole.unionByName(back.select("*", F.lit(None).cast(kind).alias("doc"), F.lit(None).cast("binary").alias("numbers")))
+    composed = whole.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(
         _composed, f"doc {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
     )
     return composed.withColumnRenamed("doc", id_col)

@@ -105,3 +105,18 @@ def slid(x: np.ndarray, width: int, op) -> np.ndarray:
     if have < width:
         out = op(out[: len(x) - width + 1], out[width - have : width - have + len(x) - width + 1])
     return out
+
+
+class Strings:
+    """Byte strings by number, joined by numbers without a loop."""
+
+    def __init__(self, strings: list[bytes]):
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+        self.sizes = np.array([len(x) for x in strings], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1].astype(np.int64)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of the strings with these numbers, one after another."""
+        sizes = self.sizes[ids]
+        shift = self.starts[ids] - (np.cumsum(sizes) - sizes)
+        return self.data[np.repeat(shift, sizes) + np.arange(sizes.sum())]

@@ -84,8 +84,7 @@ class BytePairs:
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if special and self.added else None
         self.rule = regex.compile(public_tokenizers.PATTERN)
         self.strangers = self._strangers(Tokenizer.from_file(path).pre_tokenizer, regex)
-        self.table = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.starts = np.concatenate(([0], np.cumsum([len(b) for b in self.bytes])))
+        self.table = arrays.Strings(self.bytes)
         self.known = _Known(self)
 
     def _strangers(self, own, regex):
@@ -185,9 +184,7 @@ class BytePairs:
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens' bytes, one after another."""
         ids = ids[(ids >= 0) & (ids < len(self.bytes))]
-        sizes = self.starts[ids + 1] - self.starts[ids]
-        shift = self.starts[ids] - np.concatenate(([0], np.cumsum(sizes[:-1])))[: len(ids)]
-        return self.table[np.repeat(shift, sizes) + np.arange(sizes.sum())].tobytes()
+        return self.table.joined(ids).tobytes()
 
 
 class _Known(dict):

@@ -196,24 +196,21 @@ class _Block:
     """Documents of a block as segment numbers, and its segments' alignments one after another."""
 
     def __init__(self, docs: pa.Table, segments: pa.Table):
-        raw = docs.column("numbers").to_pylist()
-        self.numbers = np.frombuffer(b"".join(raw), np.int32)
-        self.starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int64)
+        numbers, offsets = arrays.flat_bytes(docs.column("numbers"))
+        self.numbers, self.starts = numbers.view(np.int32), offsets // 4
         order = pa.array(np.argsort(segments.column("no").to_numpy()))
-        tokens, path = (segments.column(c).take(order).to_pylist() for c in ("tokens", "path"))
-        fits = np.array([x is not None for x in path], bool)
+        path = segments.column("path").take(order)
+        self.steps, self.link_starts = arrays.flat_bytes(path)
+        fits = path.is_valid().to_numpy()
         #: Documents that have tokens: some segments, all of which fit.
         self.fit = (np.diff(self.starts) > 0) & (_sums(~fits[self.numbers], self.starts) == 0)
-        steps = np.frombuffer(b"".join(x or b"" for x in path), np.uint8)
-        self.link_starts = np.concatenate(([0], np.cumsum([len(x or b"") for x in path]))).astype(np.int64)
-        a_ends, b_ends = (steps & 1).astype(np.int64), (steps >> 1).astype(np.int64)
-        self.n_a, self.n_b, self.n_groups = (_sums(x, self.link_starts) for x in (a_ends, b_ends, steps == 3))
-        flat = np.frombuffer(b"".join(x or b"" for x in tokens), np.int32).astype(np.int64)
+        a_ends, b_ends = self.steps & 1, self.steps >> 1
+        self.n_a, self.n_b, self.n_groups = (_sums(x, self.link_starts) for x in (a_ends, b_ends, self.steps == 3))
+        flat = arrays.flat_bytes(segments.column("tokens").take(order))[0].view(np.int32)
         of_a = np.repeat(np.tile([True, False], len(path)), np.stack((self.n_a, self.n_b), 1).ravel())
         self.a, self.b = flat[of_a], flat[~of_a]
         # A step's tokens are those of which as many as before it have ended.
-        self.links = self.a[np.cumsum(a_ends) - a_ends] << 32 | self.b[np.cumsum(b_ends) - b_ends]
-        self.steps = steps
+        self.links = self.a[np.cumsum(a_ends, dtype=np.int64) - a_ends].astype(np.int64) << 32 | self.b[np.cumsum(b_ends, dtype=np.int64) - b_ends]
 
     def held(self) -> tuple[np.ndarray, np.ndarray]:
         """Linked pairs, and how many documents hold each."""
@@ -228,19 +225,28 @@ class _Block:
 
     def groups(self) -> list[bytes]:
         """Groups of each segment as text that ends in a semicolon."""
-        both = self.steps == 3
-        group = np.cumsum(both) - both
-        which = np.concatenate((group[self.steps & 1 > 0] * 2, group[self.steps & 2 > 0] * 2 + 1))
-        order = np.argsort(which, kind="stable")
-        ids, which = np.concatenate((self.a, self.b))[order], which[order]
-        last = np.append(which[1:] != which[:-1], True)[: len(which)]
-        mark = np.where(~last, 0, 1 + which % 2)  # a comma within a side, a bar behind A's, a semicolon behind B's
-        known, place = np.unique(ids * 3 + mark, return_inverse=True)
-        strings = arrays.Strings([b"%d%c" % (x // 3, b",|;"[x % 3]) for x in known.tolist()])
-        text = strings.joined(place).tobytes()
-        ends = np.cumsum(strings.sizes[place])[np.cumsum(self.n_a + self.n_b) - 1] if len(place) else np.zeros(len(self.n_a), np.int64)
-        ends = np.where(np.cumsum(self.n_a + self.n_b) > 0, ends, 0).tolist()
-        return [text[x:y] for x, y in zip([0, *ends], ends)]
+        bounds = [np.concatenate(([0], np.cumsum(x))) for x in (self.n_a, self.n_b)]
+        out = []
+        for x in range(0, len(self.n_a), 16_384):  # so many segments at once
+            y = min(x + 16_384, len(self.n_a))
+            a, b = (ids[at[x] : at[y]].astype(np.int64) for ids, at in zip((self.a, self.b), bounds))
+            out += _group_texts(self.steps[self.link_starts[x] : self.link_starts[y]], a, b, (self.n_a + self.n_b)[x:y])
+        return out
+
+
+def _group_texts(steps: np.ndarray, a: np.ndarray, b: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+    both = steps == 3
+    group = np.cumsum(both) - both
+    which = np.concatenate((group[steps & 1 > 0] * 2, group[steps & 2 > 0] * 2 + 1))
+    order = np.argsort(which, kind="stable")
+    ids, which = np.concatenate((a, b))[order], which[order]
+    last = np.append(which[1:] != which[:-1], True)[: len(which)]
+    mark = np.where(last, 1 + which % 2, 0)  # a comma within a side, a bar behind A's, a semicolon behind B's
+    known, place = np.unique(ids * 3 + mark, return_inverse=True)
+    strings = arrays.Strings([b"%d%c" % (x // 3, b",|;"[x % 3]) for x in known.tolist()])
+    text = strings.joined(place).tobytes()
+    ends = np.concatenate(([0], np.cumsum(strings.sizes[place])))[np.cumsum(tokens)].tolist()
+    return [text[x:y] for x, y in zip([0, *ends], ends)]
 
 
 def _held_pairs(docs: pa.Table, segments: pa.Table) -> pa.Table:

@@ -35,7 +35,14 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts of an Arrow string column (null: empty), and their offsets."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string()).cast(pa.large_binary())
+    return flat_bytes(column.fill_null("").cast(pa.large_string()).cast(pa.large_binary()))
+
+
+def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all values of an Arrow binary column (null: empty), and their offsets."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.fill_null(b"").cast(pa.large_binary())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -117,6 +124,9 @@ class Strings:
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the strings with these numbers, one after another."""
+        return np.concatenate([self._joined(ids[at : at + 65_536]) for at in range(0, len(ids), 65_536)] or [self.data[:0]])
+
+    def _joined(self, ids: np.ndarray) -> np.ndarray:
         sizes = self.sizes[ids]
         shift = self.starts[ids] - (np.cumsum(sizes) - sizes)
         return self.data[np.repeat(shift, sizes) + np.arange(sizes.sum())]

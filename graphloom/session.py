@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def written(df: DataFrame, once: bool = False) -> DataFrame:
+def written(df: DataFrame, once: bool = False, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     ``once``: nothing else is computed from ``df``, so its shuffle files go when it is written.
@@ -45,7 +45,7 @@ def written(df: DataFrame, once: bool = False) -> DataFrame:
     before = conf.get(SHUFFLE_CLEANUP, "false")
     try:
         conf.set(SHUFFLE_CLEANUP, "true" if once else before)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         conf.set(SHUFFLE_CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -69,6 +69,8 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         special = [self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_unused(i) for i in range(len(pieces))]
         self.b_table = arrays.Strings([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)])
+        #: Ids take two bytes where both vocabularies allow it.
+        self.kind = "H" if max(len(self.a_table.sizes), len(pieces)) <= 1 << 16 else "i"
         own = [p.replace(SPACE, " ") for i, p in enumerate(pieces) if not self.b.is_byte(i) and not special[i]]
         inside = {c for p in own for before, c in zip(p, p[1:]) if not re.match(f"[{WHITE}]", before)}
         after_space = {p[1] for p in own if len(p) > 1 and p[0] == " "}
@@ -112,7 +114,7 @@ class Aligner:
         cuts = np.searchsorted(ends, np.cumsum(sizes[at]), "right")
         tokens, path, before = [None] * len(raw), [None] * len(raw), 0
         for k, cut in zip(at.tolist(), cuts.tolist()):
-            tokens[k] = array("i", sides[0][1][k] + sides[1][1][k]).tobytes()
+            tokens[k] = array(self.kind, sides[0][1][k] + sides[1][1][k]).tobytes()
             path[k] = steps[before:cut].tobytes()
             before = cut
         return tokens, path
@@ -206,7 +208,8 @@ class _Block:
         self.fit = (np.diff(self.starts) > 0) & (_sums(~fits[self.numbers], self.starts) == 0)
         a_ends, b_ends = self.steps & 1, self.steps >> 1
         self.n_a, self.n_b, self.n_groups = (_sums(x, self.link_starts) for x in (a_ends, b_ends, self.steps == 3))
-        flat = arrays.flat_bytes(segments.column("tokens").take(order))[0].view(np.int32)
+        flat = arrays.flat_bytes(segments.column("tokens").take(order))[0]
+        flat = flat.view(np.int32 if len(flat) > 2 * (self.n_a.sum() + self.n_b.sum()) else np.uint16)
         of_a = np.repeat(np.tile([True, False], len(path)), np.stack((self.n_a, self.n_b), 1).ravel())
         self.a, self.b = flat[of_a], flat[~of_a]
         # A step's tokens are those of which as many as before it have ended.
@@ -284,9 +287,9 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     shape = f"block long, doc {kind}, numbers binary, no int, segment string"
-    blocks = written(map_arrow(rows, partial(_numbered, a=a, b=b), shape))
+    blocks = written(map_arrow(rows, partial(_numbered, a=a, b=b), shape), codec="zstd")
     named = blocks.filter("no is not null").select("block", "no", "segment").repartition("segment").sortWithinPartitions("segment")
-    back = written(map_arrow(named, partial(_aligned, a=a, b=b), "block long, no int, tokens binary, path binary"), once=True)
+    back = written(map_arrow(named, partial(_aligned, a=a, b=b), "block long, no int, tokens binary, path binary"), once=True, codec="zstd")
     texts = blocks.filter("numbers is not null").select("block", "doc", "numbers")
 
     held = written(texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_held_pairs, "block long, link long, held long"), once=True)

@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph, kernels, walk
+from graphloom.operators import graph, queues, walk
 from graphloom.sources import readers, writers
 
 
@@ -19,16 +19,12 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("-u", "--undirected", action="store_true")
     p.add_argument("-r", "--restart-probability", type=float, default=0.1)
     p.add_argument("-e", "--epsilon", type=float, default=1e-5)
-    p.add_argument("--order", choices=("auto", "frontier", "fifo"), default="auto", help="auto: queue order while the graph can be broadcast, else rounds over a frontier")
+    p.add_argument("--order", choices=("fifo", "frontier"), default="fifo", help="order of the pushes: a queue for each seed, or rounds over a frontier")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     edges, nodes = readers.edge_list(spark, a.input, a.separator, a.undirected)
     edges = graph.symmetrized(edges)
-    fits = a.order == "auto" and edges.count() <= kernels.BROADCAST_EDGES
-    if a.order == "fifo" or fits:
-        local = kernels.local_communities_fifo(edges, a.restart_probability, a.epsilon)
-    else:
-        local = walk.local_communities(edges, walk.similarities(edges, a.restart_probability, a.epsilon))
+    local = (queues if a.order == "fifo" else walk).communities(edges, a.restart_probability, a.epsilon)
     n = nodes.count()
     found = walk.features(edges, local).withColumn("community", F.col("community") + F.when(F.col("kind") == "local", n).otherwise(0))
     writers.features_text(found, nodes, a.output, a.separator)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import evaluation, experiment, folds, fusion, graph, kernels, learn, louvain as modular, quality, spectral, text_graph, walk, weighting
+from graphloom.operators import evaluation, experiment, folds, fusion, graph, kernels, learn, louvain as modular, quality, queues, spectral, text_graph, walk, weighting
 from graphloom.session import table
 
 FLAGSHIP = "arcte_local_communities"
@@ -183,25 +183,25 @@ UNION ALL SELECT node, 'local', seed, 1.0 FROM loc"""
 @query(_state_sql("cumulative") + " SELECT seed, node FROM loc")
 def arcte_local_communities(spark, sf_dir):
     e = edges(spark, sf_dir)
-    return walk.local_communities(e, walk.similarities(e, RHO, EPSILON))
+    return walk.communities(e, RHO, EPSILON)
 
 
 @query(_state_sql("cumulative") + _FEATURES)
 def arcte_features(spark, sf_dir):
     e = edges(spark, sf_dir)
-    return walk.features(e, walk.local_communities(e, walk.similarities(e, RHO, EPSILON)))
+    return walk.features(e, walk.communities(e, RHO, EPSILON))
 
 
 @query(_state_sql("pagerank") + _FEATURES)
 def arcte_pagerank_features(spark, sf_dir):
     e = edges(spark, sf_dir)
-    return walk.features(e, walk.local_communities(e, walk.similarities(e, RHO, EPSILON, "limit"), guard=True))
+    return walk.features(e, walk.communities(e, RHO, EPSILON, "limit", guard=True))
 
 
 @query(_state_sql("cumulative") + " SELECT n.node, coalesce(sum(exact), 1.0) AS centrality FROM (SELECT DISTINCT src AS node FROM edges) n LEFT JOIN sims USING (node) GROUP BY 1")
 def arcte_centrality(spark, sf_dir):
     e = edges(spark, sf_dir)
-    return walk.centrality(e, walk.similarities(e, RHO, EPSILON))
+    return walk.centrality(e, RHO, EPSILON)
 
 
 # Features of the weighting queries: customers over suppliers, values are weights; labels: market segments.
@@ -301,11 +301,14 @@ def conductance(spark, sf_dir):
     return quality.conductance(edges(spark, sf_dir), _members(spark, sf_dir))
 
 
-@query(f"""WITH {_M}, r AS (SELECT * FROM m WHERE node <> community), z AS (SELECT community, count(*) AS m FROM r GROUP BY 1),
+@query(f"""WITH {_U}, r AS (SELECT src AS community, dst AS node FROM edges), z AS (SELECT community, count(*) AS m FROM r GROUP BY 1),
 i AS (SELECT a.community, count(*) AS n FROM edges JOIN r a ON src = a.node JOIN r b ON dst = b.node AND a.community = b.community GROUP BY 1)
 SELECT community, coalesce(n, 0) / (m * m) AS clustering FROM z LEFT JOIN i USING (community)""")
 def conductance_clustering(spark, sf_dir):
-    return quality.clustering(edges(spark, sf_dir), _members(spark, sf_dir))
+    """Users with those whose events come next to theirs."""
+    e = users(spark, sf_dir)
+    own = graph.nodes(e).select(F.col("node").alias("community"), "node")
+    return quality.clustering(e, own.unionByName(e.select(F.col("src").alias("community"), F.col("dst").alias("node"))))
 
 
 @query(f"""WITH {_FAST} SELECT community, volume, cut, CASE WHEN least(volume, v - volume - 2 * cut) <= 0 THEN CAST('inf' AS DOUBLE) ELSE cut / least(volume, v - volume - 2 * cut) END AS conductance FROM fast, v""")
@@ -454,12 +457,30 @@ def fold_stats(spark, sf_dir):
 @query(ORACLE_SQL["arcte_local_communities"])
 def arcte_fifo(spark, sf_dir):
     """Queue order; on this bipartite graph the same communities as with a frontier."""
-    return kernels.local_communities_fifo(edges(spark, sf_dir), RHO, EPSILON)
+    return queues.communities(edges(spark, sf_dir), RHO, EPSILON)
 
 
 @query()
 def arcte_lazy_fifo(spark, sf_dir):
-    return kernels.local_communities_fifo(edges(spark, sf_dir), RHO, EPSILON, "lazy")
+    return queues.communities(edges(spark, sf_dir), RHO, EPSILON, "lazy")
+
+
+@query(_state_sql("cumulative").replace(_E, _U) + " SELECT seed, node FROM loc")
+def arcte_users(spark, sf_dir):
+    """On a graph with triangles, over a frontier."""
+    return walk.communities(users(spark, sf_dir), RHO, EPSILON)
+
+
+@query(_state_sql("pagerank").replace(_E, _U) + " SELECT seed, node, sim FROM sims")
+def pagerank_users(spark, sf_dir):
+    found = walk.similarities(users(spark, sf_dir), RHO, EPSILON, "limit")
+    return found.select("seed", "node", F.round("sim", walk.DIGITS).alias("sim"))
+
+
+@query()
+def arcte_users_fifo(spark, sf_dir):
+    """On a graph with triangles, where queue order and frontier differ."""
+    return queues.communities(users(spark, sf_dir), RHO, EPSILON)
 
 
 @query()

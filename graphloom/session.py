@@ -41,11 +41,21 @@ def written(df: DataFrame, once: bool = False, codec: str = "snappy") -> DataFra
 
     ``once``: nothing else is computed from ``df``, so its shuffle files go when it is written.
     """
-    path, conf = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}", df.sparkSession.conf
+    return _stored(df, f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}", "error", once, codec)
+
+
+def appended(df: DataFrame, to: DataFrame | None) -> DataFrame:
+    """The ``written`` table ``to`` (None: a new one) with the rows of ``df``, from which nothing else is computed."""
+    path = to._graphloom_path if to is not None else f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    return _stored(df, path, "append", True, "snappy")
+
+
+def _stored(df: DataFrame, path: str, mode: str, once: bool, codec: str) -> DataFrame:
+    conf = df.sparkSession.conf
     before = conf.get(SHUFFLE_CLEANUP, "false")
     try:
         conf.set(SHUFFLE_CLEANUP, "true" if once else before)
-        df.write.parquet(path, compression=codec)
+        df.write.mode(mode).parquet(path, compression=codec)
     finally:
         conf.set(SHUFFLE_CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

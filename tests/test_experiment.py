@@ -93,36 +93,3 @@ def test_reports_come_back(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.dataset(spark, "unknown", str(tmp_path))
 
-
-def test_queue_order_against_brute_force_on_a_general_graph(spark):
-    """Dictionaries and plain loops instead of arrays, on a graph with triangles."""
-    rng = np.random.default_rng(8)
-    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 14, (40, 2)) if a != b}
-    pairs |= {(b, a) for a, b in pairs}
-    e = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(pairs)], EDGE)
-    near = {a: sorted(b for x, b in pairs if x == a) for a, _ in pairs}
-    found = {}
-    for r in kernels.local_communities_fifo(e, 0.1, 1e-3).collect():
-        found.setdefault(r.seed, set()).add(r.node)
-    rows = kernels.as_rows(e)
-    for seed in near:
-        if len(near[seed]) < 2:
-            continue
-        eps = kernels.threshold(rows, int(np.searchsorted(rows.ids, seed)), 1e-3)
-        s, r, queue = {seed: 1.0}, {seed: 1.0}, []
-
-        def turn(u):
-            mass, r[u] = 0.9 * r[u] / len(near[u]), 0.0
-            for v in near[u]:
-                s[v], r[v] = s.get(v, 0.0) + mass, r.get(v, 0.0) + mass
-            queue.extend(v for v in near[u] if r[v] / len(near[v]) >= eps)
-
-        turn(seed)
-        while queue:
-            u = queue.pop(0)
-            if r[u] / len(near[u]) >= eps:
-                turn(u)
-        sim = {v: round(x / len(near[v]), 12) for v, x in s.items()}
-        base = {seed, *near[seed]}
-        kept = {v for v in sim if sim[v] >= min(sim[b] for b in base)}
-        assert found.get(seed, set()) == (kept if len(kept) > len(base) else set())

@@ -3,7 +3,7 @@
 import pytest
 
 from graphloom import cli
-from graphloom.operators import kernels
+from graphloom.operators import queues
 from graphloom.sources import readers, writers
 
 
@@ -68,6 +68,5 @@ def test_command_line(spark, tmp_path):
 
 def test_queue_order_path(spark):
     e = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0), (3, 2, 1.0)], "src long, dst long, w double")
-    r = kernels.as_rows(e)
-    s, pushes = kernels.fifo(r, 1, 0.1, kernels.threshold(r, 1, 1e-5))
-    assert pushes == 19 and s.tolist() == pytest.approx([1.216426, 2.935735, 1.868781, 0.840952], abs=1e-6)
+    got = {r.node: r.s for r in queues.similarity_state(e, 0.1, 1e-5).filter("seed = 1").collect()}
+    assert [got[v] for v in range(4)] == pytest.approx([1.216426, 2.935735, 1.868781, 0.840952], abs=1e-6)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import experiment, folds, fusion, kernels, learn, louvain
+from graphloom.operators import experiment, folds, fusion, learn, louvain, weighting
 from graphloom.sources import readers, writers
 
 EDGE = "src long, dst long, w double"
@@ -93,3 +93,29 @@ def test_reports_come_back(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.dataset(spark, "unknown", str(tmp_path))
 
+
+
+def test_all_folds_are_weighted_as_each_one_alone(spark):
+    rng = np.random.default_rng(12)
+    x = spark.createDataFrame([(i, c, float(rng.integers(1, 4))) for i in range(24) for c in range(8) if rng.random() < 0.4], "node long, community long, value double")
+    lab = spark.createDataFrame([(i, int(c)) for i in range(24) for c in {i % 3, int(rng.integers(0, 3))}], "node long, label long")
+    roles = folds.folds(lab, 40, 3).withColumn("pct", F.lit(40.0))
+    got = {(r.trial, r.role, r.node, r.community): r.value for r in experiment._fold_features(x, lab, roles, True).collect()}
+    want = {}
+    for trial in range(3):
+        parts = {role: roles.filter((F.col("trial") == trial) & (F.col("role") == role)).select("node") for role in ("train", "test")}
+        train = x.join(parts["train"], "node")
+        weights = weighting.psnr_weights(weighting.chi2_contingency(train, lab.join(parts["train"], "node"), parts["train"].count()))
+        for role, nodes in parts.items():
+            want |= {(trial, role, r.node, r.community): r.value for r in weighting.community_weighting(x.join(nodes, "node"), weights).collect()}
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("method", ["arcte", "louvain", "mroc", "lapeig", "repeig"])
+def test_experiment_with_every_method(spark, method):
+    e = cliques(spark)
+    lab = spark.createDataFrame([(i, "a" if i < 10 else "b") for i in (*range(6), *range(10, 16))], "node long, label string")
+    parameters = experiment.feature_parameters(method) | ({"dimensionality": 4} if method in experiment.DENSE else {"rho": 0.4} if method == "arcte" else {})
+    row = experiment.run_experiment(e, lab, method, (50,), 2, parameters).first()
+    assert 0.4 <= row.macro_f1_mean <= 1.0
+    assert row.macro_f1_mean == 1.0 or method in ("repeig", "arcte")

@@ -465,22 +465,25 @@ def arcte_lazy_fifo(spark, sf_dir):
     return queues.communities(edges(spark, sf_dir), RHO, EPSILON, "lazy")
 
 
-@query(_state_sql("cumulative").replace(_E, _U) + " SELECT seed, node FROM loc")
+@query(_state_sql("cumulative").replace(_E, _U) + " SELECT seed, node, sim FROM sims")
 def arcte_users(spark, sf_dir):
-    """On a graph with triangles, over a frontier."""
-    return walk.communities(users(spark, sf_dir), RHO, EPSILON)
+    """On a graph with triangles, over a frontier. (It is too dense for local communities.)"""
+    return _rounded(walk.similarities(users(spark, sf_dir), RHO, EPSILON))
+
+
+def _rounded(sims: DataFrame) -> DataFrame:
+    return sims.select("seed", "node", F.round("sim", walk.DIGITS).alias("sim"))
 
 
 @query(_state_sql("pagerank").replace(_E, _U) + " SELECT seed, node, sim FROM sims")
 def pagerank_users(spark, sf_dir):
-    found = walk.similarities(users(spark, sf_dir), RHO, EPSILON, "limit")
-    return found.select("seed", "node", F.round("sim", walk.DIGITS).alias("sim"))
+    return _rounded(walk.similarities(users(spark, sf_dir), RHO, EPSILON, "limit"))
 
 
 @query()
 def arcte_users_fifo(spark, sf_dir):
     """On a graph with triangles, where queue order and frontier differ."""
-    return queues.communities(users(spark, sf_dir), RHO, EPSILON)
+    return _rounded(queues.similarities(users(spark, sf_dir), RHO, EPSILON))
 
 
 @query()

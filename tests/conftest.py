@@ -9,7 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    builder = SparkSession.builder.master("local[4]").appName("tests")
+    builder = SparkSession.builder.master("local[8]").appName("tests")
     for key, value in {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g"}.items():
         builder = builder.config(key, value)
     session = builder.getOrCreate()

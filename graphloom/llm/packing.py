@@ -150,7 +150,8 @@ class Memory:
         found = [np.array(e.ids, np.uint16) for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
         ids = np.concatenate([np.zeros(0, np.uint16), *found])
         ends = np.flatnonzero(self.last[ids]) + 1
-        assert len(ends) == n
+        if len(ends) != n:
+            raise ValueError("the tokenizer's words must end with pieces that carry its end-of-word suffix")
         return ids, np.diff(np.concatenate(([0], ends)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

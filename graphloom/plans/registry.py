@@ -503,6 +503,27 @@ def iterative_stratification(spark, sf_dir):
     return kernels.iterative_stratification(c.select(F.col("c_custkey").alias("node"), F.crc32("c_mktsegment").alias("label")), 0.5)
 
 
+def _terms(spark, sf_dir) -> DataFrame:
+    """(``doc``, ``term``, ``tf``) of all documents' lower-cased words, but those that every document with words holds (their idf is 0)."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"), 1))
+    tf = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), word.alias("term")).groupBy("doc", "term").agg(F.count("*").cast("double").alias("tf"))
+    n = tf.agg(F.count_distinct("doc").alias("n"))
+    kept = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).filter("df = 1 or df < n").select("term")  # n is one row
+    return tf.join(kept, "term")
+
+
+@query()
+def text_neighbours(spark, sf_dir):
+    """The graph of all documents: each one's 5 nearest by augmented tf-idf in 16 dimensions, from a forest."""
+    return text_graph.text_graph(_terms(spark, sf_dir), 16, "angular", 5)
+
+
+@query()
+def forest_graph(spark, sf_dir):
+    """Every vector's 5 nearest, from a forest of projections."""
+    return text_graph.forest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 5)
+
+
 @query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 d AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.e, b.e), 9) AS w FROM v a CROSS JOIN v b WHERE a.vec_id % 50 = 0)
 SELECT src, dst, w FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY w, dst) <= 5""")

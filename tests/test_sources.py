@@ -70,3 +70,37 @@ def test_queue_order_path(spark):
     e = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0), (3, 2, 1.0)], "src long, dst long, w double")
     got = {r.node: r.s for r in queues.similarity_state(e, 0.1, 1e-5).filter("seed = 1").collect()}
     assert [got[v] for v in range(4)] == pytest.approx([1.216426, 2.935735, 1.868781, 0.840952], abs=1e-6)
+
+
+@pytest.mark.parametrize("name", sorted(readers.DATASETS))
+def test_every_dataset_comes_from_its_folder(spark, tmp_path, name):
+    graph_file, label_file, separator = readers.DATASETS[name]
+    if separator == ",":
+        (tmp_path / graph_file).write_text("1,2\n2,3\n3,3\n")
+        (tmp_path / label_file).write_text("1,1\n3,2\n3,2\n")
+        want = {(0, 1): 1.0, (1, 0): 1.0, (1, 2): 1.0, (2, 1): 1.0, (2, 2): 2.0}
+    else:
+        (tmp_path / graph_file).write_text("n_rows:\t3\tn_columns:\t3\tnnz:\t3\tdirected:\tTrue\n1\t2\t1.5\n2\t3\t1\n2\t3\t2\n")
+        (tmp_path / label_file).write_text("n_rows:\t3\tn_columns:\t2\tnnz:\t2\n1\t1\n3\t2\n3\t2\n")
+        want = {(0, 1): 1.5, (1, 2): 3.0}
+    edges, labels = readers.dataset(spark, name, str(tmp_path))
+    found = edges.collect()
+    assert {(r.src, r.dst): r.w for r in found} == want and len(found) == len(want)
+    assert sorted(map(tuple, labels.select("node", "label").collect())) == [(0, 0), (2, 1)]
+
+
+def test_predictions_are_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, 0.5), (2, 1, -0.25)], "node long, label long, score double")
+    path = f"{tmp_path}/predictions"
+    writers.table_once(rows, path)
+    writers.table_once(rows.limit(0), path)
+    assert sorted(map(tuple, readers.predictions(spark, path).collect())) == [(1, 0, 0.5), (2, 1, -0.25)]
+
+
+def test_topics_of_names(spark, tmp_path):
+    labels = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 2)], "node long, label long")
+    nodes = spark.createDataFrame([(0, 70), (1, 71), (2, 72)], "node long, node_id long")
+    names = spark.createDataFrame([(70, "ann"), (71, "bo"), (99, "no one")], "node_id long, name string")
+    lemmas = spark.createDataFrame([(0, "tea"), (1, "sea"), (1, "tea"), (2, "sky")], "label long, lemma string")
+    writers.names_to_topics_text(labels, nodes, names, lemmas, f"{tmp_path}/topics")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/topics").collect()) == ["ann\tsea\ttea", "bo\tsea\ttea"]

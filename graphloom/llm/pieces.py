@@ -7,9 +7,13 @@ prefix has exactly one, so every place of the trellis keeps one back pointer. On
 within the longest piece of the end can still be pointed at; they are the window. When the paths
 of all of them meet in one boundary, the ids before it are committed and forgotten.
 
-No piece holds a space after another character, so paths always meet where a word begins; words
-met before are answered from a bounded memory. The new words of a block are taken in order, so
-that a word goes on from the places of the beginning that it shares with the one before.
+No piece holds a space after another character, so paths always meet where a word begins. A word
+longer than the window is streamed. One that lies within it is a window of its own: its ids are
+committed at its end and answered from a bounded memory when it is met again, and the new ones of
+a block are taken in order, so that each goes on from the places that it shares with the one before.
+
+Whether two pieces may follow each other is told from how each is merged: along the end of the
+first and the beginning of the second, no merge across may ever be better than the next of either.
 
 Defined results: a null or empty text has no ids. A character that is no piece becomes its UTF-8
 bytes. Decoding gives the text back but for the character U+2581, which stands for a space.
@@ -35,8 +39,6 @@ from graphloom.session import map_arrow
 SPACE = "▁"
 #: Words and pairs of pieces that a task remembers, at most; then it forgets all and starts anew.
 REMEMBERED = 500_000
-#: Longer words are streamed.
-LONG_WORD = 64
 
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]*")
 
@@ -69,17 +71,48 @@ class Pieces:
         self.sizes = {tail: sorted({*sizes}, reverse=True) for tail, sizes in self.sizes.items()}
         self.packed = {p: array("H", [i]).tobytes() for p, i in self.ids.items()}
         self.follows: dict[tuple[str, str], bool] = {}
+        self.parted: dict[str, list[str]] = {}
+        self.sides: dict[tuple[str, bool], list[tuple[str, float]]] = {}
+        self.uneven: set[str] = set()
         self.words: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """Merge the best-scored neighbours, leftmost first, until none is left."""
+    def merged(self, text: str, down_to: int = 1) -> list[str]:
+        """Merge the best-scored neighbours, leftmost first, until none is left or there are ``down_to`` parts."""
         parts = list(text)
-        while True:
+        while len(parts) > down_to:
             best = max(((self.scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores), default=None)
             if best is None:
-                return parts
+                break
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    def halves(self, piece: str) -> list[str]:
+        """The two parts that a piece of several characters is merged from last; none if its characters merge otherwise.
+
+        Scores fall from the parts to the whole as a rule; ``uneven`` has the pieces in which they somewhere do not.
+        """
+        known = self.parted.get(piece)
+        if known is None:
+            known = self.merged(piece, 2)
+            if len(known) > 2 or any(len(x) > 1 and not self.halves(x) for x in known):
+                known = []
+            if any(len(x) > 1 and (x in self.uneven or self.scores[x] <= self.scores[piece]) for x in known):
+                self.uneven.add(piece)
+            self.parted[piece] = known
+        return known
+
+    def side(self, piece: str, last: bool) -> list[tuple[str, float]]:
+        """What stands at a piece's end (or its beginning) as it is merged, each with the score of the merge that takes it up."""
+        known = self.sides.get((piece, last))
+        if known is None:
+            known, part, above = [], piece, -np.inf
+            while len(part) > 1 and (parts := self.halves(part)):
+                known.append((part, above))
+                part, above = parts[-last], self.scores[part]
+            known = [*known, (part, above)][::-1] if len(part) == 1 else []
+            self.sides[piece, last] = known
+        return known
 
     def may_follow(self, a: str, b: str) -> bool:
         """Whether ``b`` may stand after ``a``, or at the beginning if ``a`` is empty."""
@@ -87,9 +120,33 @@ class Pieces:
         if known is None:
             if len(self.follows) > REMEMBERED:
                 self.follows.clear()
-            known = self.follows[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            known = self.follows[a, b] = self._stay_apart(a, b) if a else self.merged(b) == [b]
         return known
 
+    def _stay_apart(self, a: str, b: str) -> bool:
+        """Whether the characters of both merge to just these two.
+
+        Both grow towards their whole, the better merge first, the left one on equal scores; a merge across
+        must never be better than the next of either.
+        """
+        ends, begins = self.side(a, True), self.side(b, False)
+        if a in self.uneven or b in self.uneven:
+            return self.merged(a + b) == [a, b]
+        if not ends or not begins:
+            return False
+        i = j = 0
+        while True:
+            (x, up), (y, other) = ends[i], begins[j]
+            across = self.scores.get(x + y)
+            if across is not None and across > up and across >= other:
+                return False
+            if up == other == -np.inf:
+                return True
+            if up >= other:
+                i += 1
+            else:
+                j += 1
+
     def last_piece(self, text: str, end: int, before, least: int) -> str:
         """The one piece that can end the text's first ``end`` characters.
 
@@ -137,10 +194,10 @@ class Pieces:
         return known if known is not None else array("H", [self.byte_ids[b] for b in piece.encode()]).tobytes()
 
     def learn(self, words) -> None:
-        """Remember the ids of new words."""
+        """Ids of new words: those within the window in order, going on from shared beginnings, longer ones streamed."""
         before, last, done = "", [""], [b""]
         for word in sorted(words):
-            if len(word) > LONG_WORD:
+            if len(word) > self.longest:
                 self.words[word] = b"".join(map(self.ids_of, self.segments(word)))
                 continue
             same = 0
@@ -164,7 +221,7 @@ class Pieces:
         self.learn(missing)
         out = [b"".join(map(known.__getitem__, u)) for u in units]
         for word in missing:
-            if len(word) > LONG_WORD:
+            if len(word) > self.longest:
                 del known[word]
         return out
 

@@ -216,7 +216,24 @@ def test_long_units_stream_through_a_bounded_window():
         out.append(piece)
         so_far += len(piece)
     assert "".join(out) == word and so_far == 5000
-    assert [model.ids_of(p) for p in out] == [model.ids_of(p) for p in model.segments(word)]
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for signs in ("abehilnorstu", "ab\u2581a\"0123e", "aA\u00e9\u4e2d!!  "):
+        for size in (1, 15, 16, 17, 18, 65, 700):
+            word = "".join(rng.choice(signs) for _ in range(size))
+            assert np.frombuffer(model.encode([word])[0], np.uint16).tolist() == library.encode(word)
+
+
+def test_pairs_of_pieces_stay_apart_as_full_merging_says():
+    model = pieces.Pieces()
+    rng = random.Random(12)
+    every = sorted(model.ids)
+    uneven = [p for p in every if len(p) > 1 and (model.halves(p) and p in model.uneven)]
+    pairs = [(rng.choice(every), rng.choice(every)) for _ in range(4000)] + [(a, rng.choice(every)) for a in uneven for _ in range(20)]
+    pairs += [(a[:k], a[k:]) for a in rng.sample(every, 2000) for k in range(1, len(a)) if a[:k] in model.ids and a[k:] in model.ids]
+    assert uneven and all(model.may_follow(a, b) == (model.merged(a + b) == [a, b]) for a, b in pairs)
 
 
 def test_toxic_dictionary_is_trained_on_passages_that_ordinary_texts_lack():

@@ -4,8 +4,9 @@ For each language a tree of byte contexts up to ``ORDER`` bytes counts what foll
 after a context costs -log2(c / (n + d)) bits (c times of n, d different bytes); one not seen costs
 the escape -log2(d / (n + d)) and is looked up after the context without its first byte, at last
 with one of 256. Counts are frozen after training, so a byte's cost depends on the ``ORDER`` bytes
-before it alone: all costs are laid out in one table, and a text's code length in a language is
-the sum of its bytes' costs. The shortest code names the language.
+before it alone: a block of texts asks each language's tree once for each of its distinct strings of
+``ORDER`` + 1 bytes, and a text's code length in a language is the sum of its bytes' costs. The
+shortest code names the language.
 
 Training reads whole texts of about ``SAMPLE_ROWS`` labelled rows for each language (all rows if
 fewer), picked by a hash of the id.
@@ -58,58 +59,66 @@ def _gram_counts(batches):
             yield pa.record_batch([pa.array([lang] * len(grams), pa.int32()), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"])
 
 
-def _costs(contexts: np.ndarray, symbols: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Costs after each distinct context; ``lower``: costs after each (same order) without the context's first byte."""
-    which, row = np.unique(contexts, return_inverse=True)
-    seen = np.zeros(lower.shape)
-    np.add.at(seen, (row, symbols), counts)
-    n, d = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-    with np.errstate(divide="ignore"):
-        return which, np.where(seen > 0, np.log2(n + d) - np.log2(seen), np.log2(n + d) - np.log2(np.maximum(d, 1)) + lower)
+class Tree:
+    """One language's contexts: for each order the strings seen, sorted, with their costs, and the contexts with their escapes.
+
+    ``gram`` are strings of ``ORDER`` + 1 bytes as numbers; a tree is as large as the strings that were seen.
+    """
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.levels = []
+        for order in range(ORDER + 1):
+            seen, which = np.unique(gram & (256 ** (order + 1) - 1), return_inverse=True)
+            count = np.bincount(which, n, len(seen))
+            contexts, of = np.unique(seen >> 8, return_inverse=True)
+            total, different = np.bincount(of, count, len(contexts)), np.bincount(of, minlength=len(contexts))
+            space = np.log2(total + different)
+            self.levels.append((seen, space[of] - np.log2(count), contexts, space - np.log2(different)))
+
+    def costs(self, asked: list[np.ndarray], shorter: list[np.ndarray]) -> np.ndarray:
+        """Bits of the last byte of each of ``asked[ORDER]``.
+
+        ``asked[k]``: distinct strings of k + 1 bytes; ``shorter[k]``: where each is without its first byte in the order below.
+        """
+        bits = np.full(1, 8.0)
+        for (seen, cost, contexts, escape), strings, less in zip(self.levels, asked, shorter):
+            bits = _looked_up(seen, cost, strings, _looked_up(contexts, escape, strings >> 8, 0.0) + bits[less])
+        return bits
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, missing) -> np.ndarray:
+    """The value of each asked key, or what ``missing`` says."""
+    if not len(keys):
+        return np.broadcast_to(missing, asked.shape)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], missing)
 
 
 class Model:
-    """Cost table of all languages, from (language, gram, count) rows."""
+    """The trees of all languages, from (language, gram, count) rows."""
 
     def __init__(self, names: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.names = names
-        used = np.unique(np.concatenate([gram >> 8 * k & 255 for k in range(ORDER + 1)])) if len(gram) else np.zeros(0, int)
-        self.code = np.zeros(256, np.int64)
-        self.code[used] = np.arange(1, len(used) + 1)
-        a = self.size = len(used) + 1
-        g = np.stack([self.code[gram >> 8 * (ORDER - k) & 255] for k in range(ORDER + 1)]) if len(gram) else np.zeros((4, 0), np.int64)
-        full = (g[0] * a + g[1]) * a + g[2]
-        keys = np.unique(full)
-        #: Row of the table for each context of full order: its own, or that of the last two bytes if no language has it.
-        self.row = np.tile(np.arange(a * a, dtype=np.int32), a)
-        self.row[keys] = a * a + np.arange(len(keys))
-        self.table = np.empty(((a * a + len(keys)) * a, len(names)), np.float32)
-        for k in range(len(names)):
-            mine = lang == k
-            x, c = g[:, mine], n[mine].astype(float)
-            zero = _costs(np.zeros(x.shape[1], int), x[3], c, np.full((1, a), 8.0))[1]
-            one = np.repeat(zero, a, 0)
-            which = np.unique(x[2])
-            one[which] = _costs(x[2], x[3], c, one[which])[1]
-            two = np.tile(one, (a, 1))
-            which = np.unique(x[1] * a + x[2])
-            two[which] = _costs(x[1] * a + x[2], x[3], c, two[which])[1]
-            three = two[keys % (a * a)]
-            f = (x[0] * a + x[1]) * a + x[2]
-            at = np.searchsorted(keys, np.unique(f))
-            three[at] = _costs(f, x[3], c, three[at])[1]
-            self.table[:, k] = np.concatenate((two, three)).reshape(-1)
+        self.trees = [Tree(gram[lang == k], n[lang == k]) for k in range(len(names))]
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each text in each language."""
         out = np.zeros((len(offsets) - 1, len(self.names)))
         full = np.flatnonzero(np.diff(offsets))
-        if len(full):
-            padded, place = _padded(data, offsets)
-            c, a = self.code[padded].astype(np.int32), np.int32(self.size)
-            row = self.row[(c[place - 3] * a + c[place - 2]) * a + c[place - 1]]
-            cost = self.table[row * a + c[place]]
-            out[full] = np.add.reduceat(cost, offsets[:-1][full], axis=0, dtype=np.float64)
+        if not len(full):
+            return out
+        padded, place = _padded(data, offsets)
+        key = np.zeros(len(place), np.uint32)
+        for k in range(ORDER + 1):
+            key = key << np.uint32(8) | padded[place - ORDER + k]
+        strings, which = np.unique(key, return_inverse=True)
+        asked, shorter = [strings.astype(np.int64)], []
+        for order in range(ORDER, 0, -1):
+            below, at = np.unique(asked[0] & (256**order - 1), return_inverse=True)
+            asked, shorter = [below, *asked], [at, *shorter]
+        shorter = [np.zeros(len(asked[0]), np.int64), *shorter]
+        for k, tree in enumerate(self.trees):  # one language at a time, so that memory follows the block alone
+            out[full, k] = np.add.reduceat(tree.costs(asked, shorter)[which], offsets[:-1][full])
         return out
 
 

@@ -99,7 +99,20 @@ def test_code_lengths_are_those_of_a_plain_ppm(spark):
         data = text.encode()
         found = model.bits(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
         for k, g in enumerate(model.names):
-            assert found[k] == pytest.approx(_plain_ppm([t.encode() for t in train[g]], data), rel=1e-5)
+            assert found[k] == pytest.approx(_plain_ppm([t.encode() for t in train[g]], data), rel=1e-9)
+
+
+def test_trees_are_as_large_as_the_strings_seen_however_many_languages():
+    rng = np.random.default_rng(13)
+    grams = [np.unique(rng.integers(0, 1 << 32, 500)) for _ in range(200)]
+    lang, every = np.repeat(np.arange(200), [len(g) for g in grams]), np.concatenate(grams)
+    model = language.Model([f"l{k:03d}" for k in range(201)], lang, every, np.ones(len(every), np.int64))  # the last has no string
+    assert sum(x.size for t in model.trees for level in t.levels for x in level) <= 16 * len(every)
+    text = b"".join(int(g).to_bytes(4, "big") for g in grams[7])
+    two = np.frombuffer(text + b"abc", np.uint8)
+    found = model.bits(two, np.array([0, 0, len(text), len(two)]))
+    assert not found[0].any() and found[1].argmin() == 7
+    assert found[1, 200] == 8.0 * len(text) and found[2, 200] == 24.0
 
 
 def test_fingerprints_measure_containment(spark):

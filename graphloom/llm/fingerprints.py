@@ -12,6 +12,8 @@ Documents are compared with the next one by id. They are range-partitioned by id
 that split it evenly, and the row at each border also goes to the partition before it, so that
 no task looks further than its own rows.
 
+Ids are integers (or null); cast others first, as they are ordered by value.
+
 Defined results: a null or empty text has the empty fingerprint; two empty fingerprints are
 alike (1), an empty and another one are not (0). Null ids come before all others, rows with one
 id in order of their texts; after the last row comes the first. Other columns are ignored,

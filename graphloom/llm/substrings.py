@@ -7,6 +7,8 @@ through it to find all occurrences, word by word. Of each phrase every occurrenc
 (smallest id, then smallest start) is removed. Of equal contexts (96 bits of hashes) and equal whole
 texts (128 bits) the first alone is streamed: what is found in it is in all of them.
 
+Ids are integers (or null); cast others first, as they are ordered by value.
+
 Defined results: a null or empty text has no words. A row with a null id keeps its whole text
 and covers nothing. Of rows that share an id but not the text, none comes first, so they do not
 cover each other; equal rows have equal results. Columns beside id and text do not matter,

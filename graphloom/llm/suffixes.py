@@ -11,6 +11,8 @@ documents and are judged on the input.
 Removals of strings at edges of repeats rest on their bytes. Two hashes stand for equality besides:
 of whole texts (128 bits), and of whole contexts (96 bits, within one range of leading bytes).
 
+Ids are integers (or null); cast others first, as they are ordered by value.
+
 Defined results: a null or empty text has no bytes. A row with a null id keeps its whole text
 and covers nothing. Rows that share an id never cover each other. Columns beside id and text are
 ignored, whatever their names. An empty table gives an empty table.

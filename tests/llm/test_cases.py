@@ -259,4 +259,10 @@ def test_toxic_dictionary_is_trained_on_passages_that_ordinary_texts_lack():
         toxic.append(" ".join(w).encode())
     passages = toxicity.telling_passages(toxic, ordinary)
     assert sum(b"scumbag" in p or b"worthless" in p for p in passages) > 0.9 * len(passages) > 100
-    assert hashlib.sha256(toxicity._trained(toxicity.TOXIC_BYTES, passages)).digest()
+    content = toxicity._trained(toxicity.TOXIC_BYTES, passages, k=toxicity.SEGMENT, d=toxicity.COUNTED, f=20, accel=1)
+    assert len(content) <= toxicity.TOXIC_BYTES and b"scumbag" in content and b"worthless" in content
+    common, mine, weights = toxicity.fitted([(t, y) for pair in zip(toxic, ordinary) for t, y in zip(pair, (1, 0))])
+    scorer = toxicity.Scorer(common, mine, weights)
+    fresh = [" ".join(words()) for _ in range(100)]
+    assert sum(scorer.score(t.encode()) < 0.5 for t in fresh) >= 90
+    assert sum(scorer.score(f"{t} scumbag {t}".encode()) >= 0.5 for t in fresh) >= 90

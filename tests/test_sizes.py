@@ -53,3 +53,9 @@ def test_internal_entries_do_not_list_a_hub_for_each_community(shuffled, hub):
         inside = sum(a in of[r.community] and b in of[r.community] for a, b, _ in edges)
         assert (r.volume, r.cut) == (inside, sum(a in of[r.community] for a, _, _ in edges) - inside)
 
+
+def test_common_communities_are_counted_from_arrays(spark, shuffled):
+    members = [(c, x) for c in range(60) for x in range(40)]
+    n, rows = shuffled(lambda: quality.jaccard_pairs(spark.createDataFrame(members, "community long, node long")))
+    assert len(rows) == 60 * 59 // 2 and all(r.jaccard == 1.0 for r in rows)
+    assert n < 15_000  # 60 * 59 / 2 pairs in each of the tasks before

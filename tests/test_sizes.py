@@ -59,3 +59,5 @@ def test_common_communities_are_counted_from_arrays(spark, shuffled):
     n, rows = shuffled(lambda: quality.jaccard_pairs(spark.createDataFrame(members, "community long, node long")))
     assert len(rows) == 60 * 59 // 2 and all(r.jaccard == 1.0 for r in rows)
     assert n < 15_000  # 60 * 59 / 2 pairs in each of the tasks before
+    n, rows = shuffled(lambda: quality.best_partner(spark.createDataFrame(members, "community long, node long")))
+    assert {(r.community, r.partner, r.jaccard) for r in rows} == {(c, 0 if c else 1, 1.0) for c in range(60)}

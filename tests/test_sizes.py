@@ -1,6 +1,9 @@
 """Rows that exchanges carry, on graphs in which hubs or copies made them many; results against plain loops."""
 
+import zlib
+
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import quality
 
@@ -54,10 +57,27 @@ def test_internal_entries_do_not_list_a_hub_for_each_community(shuffled, hub):
         assert (r.volume, r.cut) == (inside, sum(a in of[r.community] for a, _, _ in edges) - inside)
 
 
-def test_common_communities_are_counted_from_arrays(spark, shuffled):
-    members = [(c, x) for c in range(60) for x in range(40)]
+def test_pairs_of_communities_travel_as_arrays(spark, shuffled):
+    members = [(20 * x + i, x) for x in range(60) for i in range(20)]
     n, rows = shuffled(lambda: quality.jaccard_pairs(spark.createDataFrame(members, "community long, node long")))
-    assert len(rows) == 60 * 59 // 2 and all(r.jaccard == 1.0 for r in rows)
-    assert n < 15_000  # 60 * 59 / 2 pairs in each of the tasks before
-    n, rows = shuffled(lambda: quality.best_partner(spark.createDataFrame(members, "community long, node long")))
-    assert {(r.community, r.partner, r.jaccard) for r in rows} == {(c, 0 if c else 1, 1.0) for c in range(60)}
+    assert sorted(tuple(r) for r in rows) == [(20 * x + i, 20 * x + j, 1.0) for x in range(60) for i in range(20) for j in range(i + 1, 20)]
+    assert n < 25_000  # 39,000 when each pair was a row at each node, 16,200 now
+
+
+def test_alike_communities_are_counted_at_their_nodes(spark, monkeypatch):
+    members = [(c, x) for c in range(60) for x in range(80) if zlib.crc32(f"{c}:{x}".encode()) % 2]
+    of = {c: {x for d, x in members if d == c} for c in range(60)}
+    at_nodes = sum(f * (f - 1) // 2 for f in (sum(x in m for m in of.values()) for x in range(80)))
+    looked_up, shared = [], quality._shared
+
+    def counted(pairs, posts):
+        looked_up.append(pairs.agg(F.sum(F.least("nx", "ny"))).first()[0] or 0)
+        return shared(pairs, posts)
+
+    monkeypatch.setattr(quality, "_shared", counted)
+    rows = quality.best_partner(spark.createDataFrame(members, "community long, node long")).collect()
+    for r in rows:
+        like = {d: round(len(of[r.community] & of[d]) / len(of[r.community] | of[d]), 12) for d in of if d != r.community}
+        assert (r.partner, r.jaccard) == min(((d, j) for d, j in like.items()), key=lambda x: (-x[1], x[0]))
+    assert len(rows) == 60 and sum(looked_up) <= at_nodes
+

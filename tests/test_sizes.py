@@ -5,7 +5,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import session
 from graphloom.operators import quality
+from graphloom.plans import registry
 
 HUB, N = 0, 150
 
@@ -81,3 +83,16 @@ def test_alike_communities_are_counted_at_their_nodes(spark, monkeypatch):
         assert (r.partner, r.jaccard) == min(((d, j) for d, j in like.items()), key=lambda x: (-x[1], x[0]))
     assert len(rows) == 60 and sum(looked_up) <= at_nodes
 
+
+def test_exchanges_have_partitions_for_all_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "ROWS", 50, raising=False)
+    spark.range(1000).selectExpr("id as l_orderkey", "id % 7 as l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1000).selectExpr("id as o_orderkey", "id % 11 as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    old, adaptive = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = registry.symmetrized(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() == 20 and found.count() == 2 * 77
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -96,3 +96,16 @@ def test_exchanges_have_partitions_for_all_rows(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_a_task_takes_a_bounded_share_of_files_and_exchanges(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "t"))
+    before = {key: spark.conf.get(key) for key in session.SETTINGS}
+    try:
+        session.dealt(spark.read.parquet(str(tmp_path / "t")))
+        bytes_ = {key: spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) for key in session.SETTINGS}
+        assert bytes_["spark.sql.files.maxPartitionBytes"] <= 16 << 20  # 128 MB before
+        assert bytes_["spark.sql.adaptive.advisoryPartitionSizeInBytes"] <= 8 << 20  # 64 MB before
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

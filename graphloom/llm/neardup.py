@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     posts = nodes.select("nid", F.posexplode("keys").alias("at", "value"))
     posts = posts.select("nid", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
-    shared = posts.join(posts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key")
+    # Joins of postings are merges by name: Spark takes an exploded table to be as large as its file and would broadcast millions of postings.
+    shared = posts.join(posts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").hint("merge"), "key")
     lists = shared.groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("ks")).filter(F.size("ks") >= matches)
     central = F.aggregate("ks", F.lit(0).cast("long"), lambda a, x: a + x["c"])
     involved = written(lists.select("nid", F.transform("ks", lambda x: x["key"]).alias("ks"), central.alias("central")))
@@ -213,18 +214,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = prefix.withColumn("comp", F.col("nid")) if comps is None else prefix.join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
         rows = rows.select("key", "comp", F.struct("central", "nid", "comp").alias("node"))
         wide = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("node").alias("pivot")).filter("lo <> hi")
-        return rows.join(wide.select("key", "pivot"), "key").select("key", "node.nid", "comp", "node", "pivot", F.col("pivot.comp").alias("main"))
+        return rows.join(wide.select("key", "pivot").hint("merge"), "key").select("key", "node.nid", "comp", "node", "pivot", F.col("pivot.comp").alias("main"))
 
     comps = None
     for outside in (False, True):
         lists = open_lists()
         if outside:  # the pivot is the most central node of another component
             second = lists.filter("comp <> main").groupBy("key").agg(F.max("node").alias("pivot"))
-            lists = lists.select("key", "nid", "comp").join(second, "key")
+            lists = lists.select("key", "nid", "comp").join(second.hint("merge"), "key")
         pairs = lists.filter("comp <> pivot.comp").select(F.least("nid", "pivot.nid").alias("a"), F.greatest("nid", "pivot.nid").alias("b"))
         comps = merged(comps, confirmed(pairs.distinct()))
     lists = written(open_lists().select("key", "nid", "comp", "main").join(sets.select("nid", "n", "odd"), "nid"))
-    one, two = lists.filter("comp <> main").alias("p"), lists.alias("q")
+    one, two = lists.filter("comp <> main").alias("p"), lists.hint("merge").alias("q")
     near = (F.col("p.key") == F.col("q.key")) & (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.comp") == F.col("q.main")) | (F.col("p.nid") < F.col("q.nid")))
     near &= _can_link(F.col("p.n"), F.col("q.n"), F.col("p.odd"), F.col("q.odd"), percent)
     rest = one.join(two, near).select(F.least("p.nid", "q.nid").alias("a"), F.greatest("p.nid", "q.nid").alias("b")).distinct()

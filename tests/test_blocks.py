@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from graphloom.operators import blocks, fusion
+from graphloom.plans import registry
 
 
 def test_rounds_exchange_blocks_and_not_entries(spark, monkeypatch):
@@ -30,3 +31,28 @@ def test_rounds_exchange_blocks_and_not_entries(spark, monkeypatch):
     assert [got[7 * i] for i in range(n)] == pytest.approx(x.tolist(), abs=1e-12)
     assert len(written) == 6 and written[0] < np.count_nonzero(a) / 4  # pieces, not entries
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("pieces_")]
+
+
+def _small(spark):
+    """Two bipartite graphs and a triangle, so that one eigenvalue -1 is there twice."""
+    rng = np.random.default_rng(5)
+    weight = {(a, 20 + int(b)): float(w) for a, b, w in zip(range(20), rng.integers(0, 9, 20), rng.integers(1, 5, 20))}
+    weight |= {(int(a), 20 + int(b)): 1.0 + int(a + b) % 3 for a, b in rng.integers(0, 9, (40, 2))} | {(50, 51): 1.0, (51, 52): 2.0, (60, 61): 1.0, (61, 62): 1.0, (60, 62): 3.0}
+    weight |= {(b, a): w for (a, b), w in weight.items()}
+    ids = sorted({a for a, _ in weight})
+    m = np.zeros((len(ids), len(ids)))
+    for (a, b), w in weight.items():
+        m[ids.index(a), ids.index(b)] = w
+    p = m / m.sum(1)[:, None]
+    pi = np.linalg.solve(np.eye(len(ids)) - 0.85 * p.T, np.full(len(ids), 0.15 / len(ids)))
+    return spark.createDataFrame([(a, b, w) for (a, b), w in weight.items()], "src long, dst long, w double"), ids, p, pi
+
+
+@pytest.mark.parametrize("entries", [10**9, 20])
+def test_stationary_distribution_goes_on_to_its_end(spark, monkeypatch, entries):
+    """Twenty rounds leave a few hundredths of the difference between the sides of a bipartite graph."""
+    e, ids, p, pi = _small(spark)
+    monkeypatch.setattr(registry, "edges", lambda spark, sf_dir: e)
+    monkeypatch.setattr(blocks, "ENTRIES", entries)
+    got = {r.node: r.pi for r in registry.stationary_distribution(spark, "").collect()}
+    assert np.abs(np.array([got[x] for x in ids]) - pi).max() < 1e-11

@@ -56,3 +56,12 @@ def test_stationary_distribution_goes_on_to_its_end(spark, monkeypatch, entries)
     monkeypatch.setattr(blocks, "ENTRIES", entries)
     got = {r.node: r.pi for r in registry.stationary_distribution(spark, "").collect()}
     assert np.abs(np.array([got[x] for x in ids]) - pi).max() < 1e-11
+
+
+def test_implicit_matrix_of_the_whole_distribution(spark, monkeypatch):
+    e, ids, p, pi = _small(spark)
+    monkeypatch.setattr(registry, "edges", lambda spark, sf_dir: e)
+    flow = pi[:, None] * p
+    want = {(a, b): (flow[i, j] + flow[j, i]) / 2 for i, a in enumerate(ids) for j, b in enumerate(ids) if p[i, j]}
+    got = {(r.src, r.dst): r.w for r in registry.implicit_combinatorial(spark, "").collect()}
+    assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in want) < 1e-11

@@ -109,3 +109,19 @@ def test_a_task_takes_a_bounded_share_of_files_and_exchanges(spark, tmp_path):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_a_node_sends_its_communities_once_to_each_range(spark, shuffled):
+    """Two far groups of 30 nodes, each in the same 40 communities: a node's list goes to few ranges, not to 40 communities."""
+    members = [(1000 * g + c, 100 * g + x) for g in range(2) for c in range(40) for x in range(30)]
+    n, rows = shuffled(lambda: quality._met(spark.createDataFrame([(*x, 30) for x in members], "community long, node long, n long")))
+    assert sorted((r.c1, r.c2, r.n1, r.n2, r.k) for r in rows) == [(1000 * g + c, 1000 * g + d, 30, 30, 30) for g in range(2) for c in range(40) for d in range(c + 1, 40)]
+    assert n < 2 * len(members)  # and 39 more for each of the 60 nodes before
+
+
+def test_quality_queries_read_lineitem_once(spark, tmp_path, monkeypatch):
+    spark.range(300).selectExpr("id as l_orderkey", "id % 7 as l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(300).selectExpr("id as o_orderkey", "id % 11 as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    for query in (registry.conductance, registry.incremental_conductance, registry.decremental_conductance, registry.jaccard_pairs):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan and "o_orderkey" not in plan  # read and written before, once

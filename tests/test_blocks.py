@@ -65,3 +65,31 @@ def test_implicit_matrix_of_the_whole_distribution(spark, monkeypatch):
     want = {(a, b): (flow[i, j] + flow[j, i]) / 2 for i, a in enumerate(ids) for j, b in enumerate(ids) if p[i, j]}
     got = {(r.src, r.dst): r.w for r in registry.implicit_combinatorial(spark, "").collect()}
     assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in want) < 1e-11
+
+
+def test_views_are_made_once_and_mixed_as_a_dense_matrix(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(v, int(a), int(b), float(w)) for v, n in (("F", 7), ("O", 6)) for a, b, w in zip(rng.integers(0, n, 30), rng.integers(0, n, 30), rng.integers(1, 5, 30)) if a < b]
+    rows += [(v, b, a, w) for v, a, b, w in rows] + [("F", x, x + 1, 1.0) for x in range(6)] + [("O", x + 1, x, 1.0) for x in range(5)] + [("F", 6, 0, 1.0), ("O", 0, 5, 1.0)]
+    spark.createDataFrame(rows, "view string, src long, dst long, w double").groupBy("view", "src", "dst").agg({"w": "sum"}).toDF("view", "src", "dst", "w").write.parquet(str(tmp_path / "views"))
+    found = fusion.graph_fusion_directed(spark.read.parquet(str(tmp_path / "views")), {"F": 2.0, "O": 1.0}, "zhou", "directed", 0.15, 1e-14)[0]
+    assert str(tmp_path) not in found._jdf.queryExecution().optimizedPlan().toString() + "".join(found.inputFiles())
+    p, pi, has = {}, {}, {}
+    for v in "FO":
+        m = np.zeros((7, 7))
+        for u, a, b, w in rows:
+            m[a, b] += w * (u == v)
+        has[v], ids = m.sum(1) > 0, np.flatnonzero(m.sum(0) + m.sum(1))
+        p[v] = np.divide(m, m.sum(1)[:, None], out=np.zeros_like(m), where=m.sum(1)[:, None] > 0)
+        pi[v] = np.zeros(7)
+        pi[v][ids] = np.linalg.solve(np.eye(len(ids)) - 0.85 * p[v][np.ix_(ids, ids)].T, np.full(len(ids), 0.15 / len(ids)))
+    all_a = 2.0 * has["F"] + has["O"]
+    flow = {"F": pi["F"] * 2.0 * has["F"] / all_a, "O": pi["O"] * has["O"] / all_a}
+    total = flow["F"] + flow["O"]
+    walk = sum((flow[v] / total)[:, None] * p[v] for v in "FO")
+    q = np.sqrt(total)[:, None] * walk / np.sqrt(total)[None, :]
+    want = (q + q.T) / 2
+    got = np.zeros((7, 7))
+    for r in found.collect():
+        got[r.src, r.dst] = r.w
+    assert np.abs(got - want).max() < 1e-9

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import session
-from graphloom.operators import quality
+from graphloom.operators import graph, quality
 from graphloom.plans import registry
 
 HUB, N = 0, 150
@@ -125,3 +125,15 @@ def test_quality_queries_read_lineitem_once(spark, tmp_path, monkeypatch):
     for query in (registry.conductance, registry.incremental_conductance, registry.decremental_conductance, registry.jaccard_pairs):
         plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert "l_orderkey" not in plan and "o_orderkey" not in plan  # read and written before, once
+
+
+def test_both_directions_exchange_each_entry_once(spark, shuffled):
+    rows = [(a, b, 1.0 + a) for a in range(40) for b in range(a % 7, 40, 7)]
+    e = spark.createDataFrame(rows, "src long, dst long, w double")
+    of = {(a, b): w for a, b, w in rows}
+    n, found = shuffled(lambda: graph.symmetrized(e))
+    assert {(r.src, r.dst): r.w for r in found} == {x: (of.get(x, 0.0) + of.get(x[::-1], 0.0)) / 2 for x in of.keys() | {(b, a) for a, b in of}}
+    assert n <= len(rows)  # twice as many before
+    for loops in (False, True):
+        found = {(r.src, r.dst): r.w for r in graph.with_reverse(e, loops).collect()}
+        assert found == {(a, b): of.get((a, b), 0.0) + (of.get((b, a), 0.0) if a != b or loops else 0.0) for x in of for a, b in (x, x[::-1])}
